@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 # Weights of the simulated score, on the features' own scales.
 SCORE_INTERCEPT = -4.0
 SCORE_WEIGHTS = {
@@ -29,7 +31,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     so their sizes decide at run time."""
     year = F.year("l_shipdate")
     joined = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -25,16 +25,16 @@ def numeric_features(txn: DataFrame) -> list[str]:
 
 
 def value_histogram(txn: DataFrame, features: list[str], batch: str = BATCH_COLUMN) -> DataFrame:
-    """Rows per (feature, batch, value). A missing value leaves a row with count 0, so
-    that every (batch, feature) pair stays present even when all its values are missing."""
+    """Rows per (feature position, batch, value). A missing value leaves a row with count 0,
+    so every (batch, feature) pair stays present even when all its values are missing."""
+    # Adding zero makes -0.0 and 0.0 one value.
+    values = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features])
     return (
         txn.select(
             F.col(batch).alias("batch_name"),
             (F.col(SOURCE_COLUMN) == BASELINE_SOURCE).alias("is_baseline"),
-            # Adding zero makes -0.0 and 0.0 one value.
-            *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in features],
+            F.posexplode(values).alias("feature", "value"),
         )
-        .unpivot(["batch_name", "is_baseline"], list(features), "feature", "value")
         .groupBy("feature", "batch_name", "is_baseline", "value")
         .agg(F.count("value").alias("n"))
     )
@@ -95,6 +95,7 @@ def feature_drift(
                 F.max(F.when(F.col("value").isNotNull(), F.greatest(here, just_below))), F.lit(0.0)
             ).alias("ks")
         )
+        .withColumn("feature", F.get(F.array(*[F.lit(f) for f in features]), F.col("feature")))
     )
 
 

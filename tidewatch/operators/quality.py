@@ -13,16 +13,21 @@ def original_columns(df: DataFrame, batch: str = BATCH_COLUMN) -> list[str]:
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 of the whole row as 32 bytes. Cells are length-prefixed, so neither NULL
-    and empty text nor a separator inside a cell can make two rows alike."""
-    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    """SHA-256 of the whole row as 32 bytes.
+
+    The row is written as JSON first: quoted text and absent NULL fields make the
+    encoding one-to-one. Timestamps are cast because JSON would drop microseconds,
+    and adding zero makes -0.0 and 0.0 one value, as grouping does.
+    """
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
 
     def cell(c):
-        # Adding zero makes -0.0 and 0.0 one value, as grouping does.
-        text = (F.col(c) + F.lit(0.0) if c in numeric else F.col(c)).cast("string")
-        return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-"))
+        if types[c] in ("double", "float"):
+            return F.col(c) + F.lit(0.0)
+        return F.col(c).cast("string") if types[c].startswith("timestamp") else F.col(c)
 
-    return F.unhex(F.sha2(F.concat(*[cell(c) for c in columns]), 256))
+    fields = [cell(c).alias(str(i)) for i, c in enumerate(columns)]
+    return F.unhex(F.sha2(F.to_json(F.struct(*fields)), 256))
 
 
 def missing_cells(columns: list[str]) -> Column:

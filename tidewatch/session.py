@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -45,3 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, label: str) -> str:
     """A new sub-folder name under the shared folder; nothing is ever overwritten."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan out to all cores when its files yield fewer splits than that.
+
+    A table of many files is returned untouched, so nothing large is ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
