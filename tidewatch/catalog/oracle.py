@@ -297,10 +297,9 @@ RISK_PROFILE = """SELECT batch_file_name, batch_type, count(*) AS total_transact
   FROM transactions GROUP BY 1, 2 ORDER BY 1"""
 
 EVENTS = ks_ctes(
-    """SELECT CASE WHEN w < 4 THEN 'weeks_0_to_3' ELSE 'week_' || w END AS batch_name, w < 4 AS is_base,
-         'value' AS feature, 0 AS position, value
-       FROM (SELECT CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 604800.0) AS BIGINT) AS w,
-               value FROM events)"""
+    """SELECT CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 'first_week'
+              ELSE strftime(ts, '%Y-%m-%d') END AS batch_name,
+         ts < TIMESTAMP '2024-01-08' AS is_base, 'value' AS feature, 0 AS position, value FROM events"""
 )
 
 _FLAG = "CASE WHEN {0} THEN 'Detected' ELSE 'Not Detected' END"

@@ -253,12 +253,12 @@ def q_monitoring_report(spark, sf_dir):
 
 
 def q_event_value_drift(spark, sf_dir):
-    """Weekly batches of events against the first four weeks."""
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    week = F.floor(F.timestamp_diff("DAY", start, F.col("ts")) / 7)
+    """Daily batches of events against the first week."""
+    first_week = F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")
+    day = F.date_format("ts", "yyyy-MM-dd")
     events = spread(table(spark, sf_dir, "events")).select(
-        F.when(week < 4, "weeks_0_to_3").otherwise(F.concat(F.lit("week_"), week)).alias(BATCH_COLUMN),
-        F.when(week < 4, "baseline").otherwise("production_batch").alias(SOURCE_COLUMN),
+        F.when(first_week, "first_week").otherwise(day).alias(BATCH_COLUMN),
+        F.when(first_week, "baseline").otherwise("production_batch").alias(SOURCE_COLUMN),
         "value",
     )
     return rounded(feature_drift(events, ["value"]), 9)
@@ -370,8 +370,7 @@ def q_incident_prompt(spark, sf_dir):
 
 
 def q_incident_lookup(spark, sf_dir):
-    rows = report(spark, sf_dir)
-    return incident_lookup(rows, incidents(rows, one_comparison(spark, sf_dir)))
+    return incident_lookup(report(spark, sf_dir), one_comparison(spark, sf_dir))
 
 
 # ---- sampling and model -----------------------------------------------------------

@@ -77,10 +77,26 @@ def feature_drift(
     else:
         rows = rows.withColumn(ordered.HEAD, F.lit(False))
 
-    peers = Window.partitionBy("feature", ordered.BUCKET, "value")
-    shared = ordered.running_counts(rows, ["feature"], "value", ["base"], buckets)
-    shared = shared.withColumn("base_at", F.sum("base").over(peers)).where(~F.col("is_baseline"))
-    both = ordered.running_counts(shared, ["feature", "batch_name"], "value", ["own"], buckets)
+    # A baseline row comes first among equal values, so every batch row sees it: the last
+    # baseline value met tells whether the baseline has this very value, and how often.
+    value_first = F.col("value").asc_nulls_first()
+    met = F.when(F.col("is_baseline"), F.struct("value", "base"))
+    shared = ordered.running_counts(
+        rows,
+        ["feature"],
+        [value_first, F.col("is_baseline").desc()],
+        "base",
+        buckets,
+        {"met": lambda frame: F.last(met, ignorenulls=True).over(frame)},
+    ).where(~F.col("is_baseline"))
+    base_at = F.when(F.col("met.value") == F.col("value"), F.col("met.base")).otherwise(F.lit(0))
+    both = ordered.running_counts(
+        shared.withColumn("base_at", base_at).drop("met"),
+        ["feature", "batch_name"],
+        [value_first],
+        "own",
+        buckets,
+    )
 
     def gap(base, own):
         return F.abs(F.try_divide(base, F.col("base_total")) - F.try_divide(own, F.col("own_total")))

@@ -81,28 +81,40 @@ def at_or_below(count: str) -> str:
     return f"{count}_le"
 
 
+def running_window(keys: list[str], order: list[Column]):
+    """Frames "up to this row" and "whole group" on one ordering, so they share one pass."""
+    ordering = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    upto = ordering.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordering.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return upto, whole
+
+
 def running_counts(
-    rows: DataFrame, keys: list[str], value: str, counts: list[str], buckets: int
+    rows: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    count: str,
+    buckets: int,
+    also: dict | None = None,
 ) -> DataFrame:
-    """Add ``<count>_le`` (sum over values <= this one) and ``<count>_total`` per keys.
+    """Add ``<count>_le`` (running sum in the given order) and ``<count>_total`` per keys.
 
-    ``rows`` must carry the bucket column. Rows of one (keys, value) are peers and
-    all see the same sum. With several buckets, head rows (``_head`` true) arrive
-    through :func:`add_heads` and hold the sums below.
+    ``rows`` must carry the bucket column, and ``order`` must put NULL values first.
+    With several buckets the head rows of :func:`add_heads` bring in the sums below.
+    ``also`` maps further column names to functions of the running frame.
     """
-    within = [*keys, BUCKET]
-    upto = Window.partitionBy(*within).orderBy(F.col(value).asc_nulls_first())
-    upto = upto.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*within)
-    columns = []
-    for c in counts:
-        columns.append(F.sum(c).over(upto).alias(at_or_below(c)))
-        if buckets <= 1:
-            columns.append(F.sum(c).over(whole).alias(total(c)))
-        else:
-            columns.append(F.first(total(c), ignorenulls=True).over(upto).alias(total(c)))
-    kept = [c for c in rows.columns if c not in {total(c) for c in counts}]
-    return rows.select(*kept, *columns)
+    upto, whole = running_window(keys, order)
+    if buckets <= 1:
+        all_of_it = F.sum(count).over(whole)
+    else:
+        all_of_it = F.first(total(count), ignorenulls=True).over(upto)
+    kept = [c for c in rows.columns if c != total(count)]
+    return rows.select(
+        *kept,
+        F.sum(count).over(upto).alias(at_or_below(count)),
+        all_of_it.alias(total(count)),
+        *[column(upto).alias(name) for name, column in (also or {}).items()],
+    )
 
 
 def add_heads(rows: DataFrame, value: str, heads: list[DataFrame]) -> DataFrame:

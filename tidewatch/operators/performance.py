@@ -85,9 +85,9 @@ def score_performance(
         rows = ordered.add_heads(rows, "score", [ordered.bucket_heads(rows, list(keys), ["below"])])
     else:
         rows = rows.withColumn(ordered.HEAD, F.lit(False))
-    ranked = ordered.running_counts(rows, list(keys), "score", ["below"], buckets).where(
-        ~F.col(ordered.HEAD)
-    )
+    ranked = ordered.running_counts(
+        rows, list(keys), [F.col("score").asc_nulls_first()], "below", buckets
+    ).where(~F.col(ordered.HEAD))
 
     scored = F.col("score").isNotNull()
     pos = F.coalesce(F.sum(F.when(scored, F.col("pos"))), F.lit(0))

@@ -27,10 +27,14 @@ def incident_prompts(report: DataFrame, comparison: DataFrame, n: int = 10) -> D
     return rows.select("batch_name", incident_prompt().alias("prompt"))
 
 
-def incident_lookup(report: DataFrame, incident_rows: DataFrame) -> DataFrame:
-    """Every batch with its incident text; NULL where none was raised."""
-    return report.select("batch_name").join(
-        incident_rows.select("batch_name", "severity", "summary"), "batch_name", "left"
+def incident_lookup(report: DataFrame, comparison: DataFrame, n: int = 10) -> DataFrame:
+    """Every batch with its incident; NULL where none was raised."""
+    rows = with_context(report, comparison, n)
+    raised = F.col("anomaly_detected")
+    return rows.select(
+        "batch_name",
+        F.when(raised, F.col("severity")).alias("severity"),
+        F.when(raised, incident_text()).alias("summary"),
     )
 
 
