@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.view import transactions
 from tidewatch.operators.quality import original_columns
+from tidewatch.operators.validation import high_risk
 from tidewatch.schema import DROP_COLUMNS, TEXT_TYPES, column_roles, require_columns
 from tidewatch.session import range_buckets, shared_folder
 from tidewatch.sources import outputs
@@ -68,6 +69,8 @@ def test_table_round_trip_prunes_partitions(spark, sf_dir, tmp_path):
     one = stored.where(F.col("batch_file_name") == "batch_05_recent.csv")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch_file_name" in plan
+    filtered = high_risk(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(fraud_probability_simulated,0.3)" in filtered
     save_transactions(one, "kept_transactions")
     save_transactions(one, "kept_transactions")
     assert spark.table("kept_transactions").count() == one.count()

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.view import transactions
-from tidewatch.plans.monitor import monitor
+from tidewatch.operators.drift import numeric_features
+from tidewatch.plans.monitor import load_profile, monitor, save_profile
 from tidewatch.schema import BATCH_COLUMN, TAG_COLUMNS
 from tidewatch.streaming.monitor_stream import monitor_stream, read_batches
 
@@ -19,13 +20,16 @@ def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, t
         (part,) = (tmp_path / f"{name}-parts").glob("*.parquet")
         (arriving / f"{name}.parquet").write_bytes(part.read_bytes())
 
-    baseline = txn.where("data_source = 'baseline'").select(*columns)
     scorer = lambda df: df.withColumn("score", F.col("fraud_probability_simulated"))
+    features = numeric_features(txn)
+    save_profile(scorer(txn.where("data_source = 'baseline'")), "score", features, str(tmp_path / "profile"))
+    profile = load_profile(spark, features, str(tmp_path / "profile"))
+    schema = txn.select(*columns).schema
 
     def run():
-        batches = read_batches(spark, str(arriving), baseline.schema)
+        batches = read_batches(spark, str(arriving), schema)
         writer = monitor_stream(
-            batches, baseline, scorer, str(tmp_path / "report"), str(tmp_path / "state"), "score"
+            batches, profile, scorer, str(tmp_path / "report"), str(tmp_path / "state"), "score"
         )
         query = writer.trigger(availableNow=True).start()
         query.awaitTermination()
@@ -41,5 +45,6 @@ def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, t
         r.batch_name.split(".")[0]: r for r in monitor(txn, "fraud_probability_simulated").collect()
     }
     for name in names:
-        for column in ("rows", "duplicate_rows", "missing_percentage", "max_feature_drift_score", "roc_auc"):
+        for column in ("rows", "duplicate_rows", "missing_percentage", "max_feature_drift_score", "roc_auc", "anomaly_detected"):
             assert rows[name][column] == expected[name][column], (name, column)
+        assert abs(rows[name].prediction_drift_score - expected[name].prediction_drift_score) < 1e-12

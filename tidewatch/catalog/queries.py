@@ -256,7 +256,7 @@ def q_event_value_drift(spark, sf_dir):
     """Daily batches of events against the first week."""
     first_week = F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")
     day = F.date_format("ts", "yyyy-MM-dd")
-    events = spread(table(spark, sf_dir, "events")).select(
+    events = spread(table(spark, sf_dir, "events"), "event_id").select(
         F.when(first_week, "first_week").otherwise(day).alias(BATCH_COLUMN),
         F.when(first_week, "baseline").otherwise("production_batch").alias(SOURCE_COLUMN),
         "value",
@@ -265,7 +265,7 @@ def q_event_value_drift(spark, sf_dir):
 
 
 def q_document_duplicates(spark, sf_dir):
-    documents = spread(table(spark, sf_dir, "documents")).select("source", "text")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id").select("source", "text")
     return quality.duplicate_rows(documents, ["source"], ["text"])
 
 

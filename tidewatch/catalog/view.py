@@ -6,8 +6,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewatch.session import spread
 
@@ -22,8 +25,15 @@ SCORE_WEIGHTS = {
 }
 
 
+@lru_cache(maxsize=256)
+def _schema(application: str, path: str) -> StructType:
+    return SparkSession.getActiveSession().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A provided table; its footer is read for the schema once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +41,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     so their sizes decide at run time."""
     year = F.year("l_shipdate")
     joined = (
-        spread(table(spark, sf_dir, "lineitem"))
+        spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -45,6 +45,7 @@ def feature_drift(
     features: list[str] | None = None,
     batch: str = BATCH_COLUMN,
     buckets: int | None = None,
+    baseline_histogram: DataFrame | None = None,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of every (batch, numeric feature).
 
@@ -52,13 +53,16 @@ def feature_drift(
     two neighbouring batch values only the baseline moves, so the largest gap lies at
     a batch value or just below one: testing both limits there covers the baseline's
     own values without pairing the baseline with every batch. A side without values
-    gives 0.
+    gives 0. A stored ``baseline_histogram`` of the same features stands in for baseline
+    rows of ``txn``, which then needs production rows only.
     """
     features = list(features) if features is not None else numeric_features(txn)
     require_columns(txn, [*features, batch, SOURCE_COLUMN])
     buckets = range_buckets(txn.sparkSession, len(features), buckets)
 
     hist = value_histogram(txn, features, batch).where(ordered.non_negative(["n"]))
+    if baseline_histogram is not None:
+        hist = hist.unionByName(baseline_histogram)
     rows = (
         ordered.with_buckets(hist, "feature", "value", buckets)
         .withColumn("base", F.when(F.col("is_baseline"), F.col("n")).otherwise(F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.schema import TARGET
 
-_BUCKET_BITS = 16
+_BUCKET_BITS = 20
 
 
 def row_order(df: DataFrame, seed: int) -> Column:
@@ -59,7 +59,7 @@ def train_test_split(
 ) -> DataFrame:
     """Add ``split`` ('train' / 'test') with exact, stratified sizes.
 
-    Rows are ordered by a hash of their content. Its leading bits give 65,536 buckets
+    Rows are ordered by a hash of their content. Its leading bits give 2^20 buckets
     per class; bucket counts locate the one bucket where the class quota is met. Rows
     in other buckets are settled by comparison alone, and only that bucket is ranked.
     There, equal rows are ranked as one counted row, so copies cannot flood a task.

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.drift import feature_drift, feature_drift_flag, numeric_features, prediction_drift
+from tidewatch.operators.drift import (
+    feature_drift,
+    feature_drift_flag,
+    numeric_features,
+    prediction_drift,
+    value_histogram,
+)
 from tidewatch.operators.performance import batch_performance
 from tidewatch.operators.quality import data_quality, original_columns
 from tidewatch.schema import (
@@ -20,6 +28,31 @@ from tidewatch.schema import (
 from tidewatch.sources.transactions import union_sources
 
 
+@dataclass(frozen=True)
+class BaselineProfile:
+    """What the report needs of the baseline: value counts per feature and the mean score.
+
+    Batches that arrive later are compared with it, so baseline rows are neither read
+    nor scored again.
+    """
+
+    features: list[str]
+    histogram: DataFrame
+    risk: DataFrame
+
+
+def save_profile(baseline: DataFrame, score: str, features: list[str], path: str) -> None:
+    """Write the profile of a tagged and scored baseline."""
+    value_histogram(baseline, features).write.mode("overwrite").parquet(f"{path}/histogram")
+    baseline.agg(F.avg(score).alias("avg_predicted_risk")).write.mode("overwrite").parquet(f"{path}/risk")
+
+
+def load_profile(spark: SparkSession, features: list[str], path: str) -> BaselineProfile:
+    return BaselineProfile(
+        features, spark.read.parquet(f"{path}/histogram"), spark.read.parquet(f"{path}/risk")
+    )
+
+
 def monitor(
     txn: DataFrame,
     score: str,
@@ -27,21 +60,32 @@ def monitor(
     features: list[str] | None = None,
     config: MonitorConfig = MonitorConfig(),
     columns: list[str] | None = None,
+    profile: BaselineProfile | None = None,
 ) -> DataFrame:
     """Report on every production batch of the unified table against its baseline rows.
 
     Three branches read the table, each with its own columns: score and label, the
     numeric features, and all original columns (for missing cells and duplicates).
     Each branch ends in one row per batch; only these are joined. ``columns`` names
-    the original columns when ``txn`` carries added ones besides the score.
+    the original columns when ``txn`` carries added ones besides the score. With a
+    ``profile`` the baseline comes from there and ``txn`` holds production rows only.
     """
     require_columns(txn, [SOURCE_COLUMN, BATCH_COLUMN, score, label])
     columns = columns or original_columns(txn)
+    if profile is not None:
+        features = profile.features
     features = list(features) if features is not None else numeric_features(txn.select(*columns))
 
-    performance = prediction_drift(batch_performance(txn, score, label, config=config), config)
+    by_batch = batch_performance(txn, score, label, config=config)
+    if profile is not None:
+        risk = profile.risk.withColumn("is_baseline", F.lit(True))
+        by_batch = by_batch.unionByName(risk, allowMissingColumns=True)
+    performance = prediction_drift(by_batch, config)
+    stored = profile.histogram if profile is not None else None
     drift = feature_drift_flag(
-        feature_drift(txn, features, buckets=config.range_buckets), features, config
+        feature_drift(txn, features, buckets=config.range_buckets, baseline_histogram=stored),
+        features,
+        config,
     )
     production = txn.where(F.col(SOURCE_COLUMN) != BASELINE_SOURCE)
     quality = data_quality(production, [BATCH_COLUMN], columns, config).withColumnRenamed(

@@ -98,9 +98,10 @@ def union_sources(
     baseline: DataFrame, batches: DataFrame, baseline_name: str = "train_baseline.csv"
 ) -> DataFrame:
     """The unified table: columns matched by name, absent ones NULL, duplicates kept."""
-    return tag_source(baseline, BASELINE_SOURCE, baseline_name).unionByName(
+    both = tag_source(baseline, BASELINE_SOURCE, baseline_name).unionByName(
         tag_source(batches, PRODUCTION_SOURCE), allowMissingColumns=True
     )
+    return normalise_missing(both)
 
 
 def describe_inputs(df: DataFrame, batch: str = BATCH_COLUMN) -> DataFrame:

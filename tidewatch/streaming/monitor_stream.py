@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidewatch.plans.monitor import monitor_frames
-from tidewatch.schema import BATCH_COLUMN, MonitorConfig, TAG_COLUMNS, normalise_missing
+from tidewatch.plans.monitor import BaselineProfile, monitor
+from tidewatch.schema import BATCH_COLUMN, PRODUCTION_SOURCE, TAG_COLUMNS, MonitorConfig, normalise_missing
+from tidewatch.sources.transactions import tag_source
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -29,7 +30,7 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType, max_files
 
 def monitor_stream(
     batches: DataFrame,
-    baseline: DataFrame,
+    profile: BaselineProfile,
     scorer: Callable[[DataFrame], DataFrame],
     report_path: str,
     checkpoint: str,
@@ -38,21 +39,15 @@ def monitor_stream(
 ) -> DataStreamWriter:
     """Report on each micro-batch of arrived files and add it to the report table.
 
-    ``scorer`` adds the score column and runs on baseline and batches alike. Every
-    micro-batch owns one directory that a replay overwrites, so a restart neither loses
-    nor repeats report rows. The arrived rows are read by several branches of the
-    report; the source files themselves serve all of them.
+    ``scorer`` adds the score column. The stored baseline profile keeps the cost of a
+    micro-batch in line with what arrived. Every micro-batch owns one directory that a
+    replay overwrites, so a restart neither loses nor repeats report rows.
     """
-    columns = [c for c in baseline.columns if c not in TAG_COLUMNS]
+    columns = [c for c in batches.columns if c not in TAG_COLUMNS]
 
     def report_on(arrived: DataFrame, epoch: int) -> None:
-        report = monitor_frames(
-            scorer(baseline.drop(*TAG_COLUMNS)),
-            scorer(arrived.drop("data_source")),
-            score,
-            config=config,
-            columns=columns,
-        )
+        tagged = tag_source(scorer(arrived), PRODUCTION_SOURCE)
+        report = monitor(tagged, score, config=config, columns=columns, profile=profile)
         report.write.mode("overwrite").parquet(f"{report_path}/epoch={epoch}")
 
     return batches.writeStream.foreachBatch(report_on).option("checkpointLocation", checkpoint)
