@@ -535,3 +535,4 @@ ORACLE = {
 }
 ORACLE["feature_drift_ranges"] = ORACLE["feature_drift"]
 ORACLE["roc_auc_ranges"] = ORACLE["roc_auc"]
+ORACLE["profile_report"] = ORACLE["monitoring_report"]

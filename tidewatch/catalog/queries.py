@@ -18,7 +18,7 @@ from tidewatch.operators.model import TrainConfig, encoder_stages, feature_frame
 from tidewatch.operators.sampling import sample_per_key, train_test_split
 from tidewatch.plans.explain import batch_importance, compare_batches
 from tidewatch.plans.incident import incident_lookup, incident_prompts, incidents
-from tidewatch.plans.monitor import monitor
+from tidewatch.plans.monitor import load_profile, monitor, save_profile
 from tidewatch.plans.training import EVALUATION_METRICS, EVALUATION_PARAMS, train_and_evaluate
 from tidewatch.schema import (
     BASELINE_SOURCE,
@@ -252,6 +252,14 @@ def q_monitoring_report(spark, sf_dir):
     return rounded(report(spark, sf_dir))
 
 
+def q_profile_report(spark, sf_dir):
+    """The report on production rows alone, against a stored profile of the baseline."""
+    txn = transactions(spark, sf_dir)
+    path, features = run_folder(spark, "profile"), numeric_features(txn)
+    save_profile(baseline(txn), SCORE, features, path)
+    return rounded(monitor(production(txn), SCORE, profile=load_profile(spark, features, path)))
+
+
 def q_event_value_drift(spark, sf_dir):
     """Daily batches of events against the first week."""
     first_week = F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")
@@ -494,6 +502,7 @@ QUERIES = {
     "feature_drift_flag": q_feature_drift_flag,
     "prediction_drift": q_prediction_drift,
     "monitoring_report": q_monitoring_report,
+    "profile_report": q_profile_report,
     "event_value_drift": q_event_value_drift,
     "document_duplicates": q_document_duplicates,
     "label_performance": q_label_performance,

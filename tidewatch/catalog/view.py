@@ -97,14 +97,13 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("batch_id") == "B2000", "batch_04_quality_issue.csv")
         .otherwise("batch_05_recent.csv")
     )
-    return (
-        rows.withColumn("fraud_probability_simulated", F.round(1 / (1 + F.exp(-margin)), 6))
+    source = F.when(F.col("batch_type") == "baseline", "baseline").otherwise("production_batch")
+    kept = [c for c in rows.columns if c != "_order"]
+    return rows.select(
+        *kept,
+        F.round(1 / (1 + F.exp(-margin)), 6).alias("fraud_probability_simulated"),
         # The second copy comes from the row itself, so the joins run once.
-        .withColumn("_copy", F.explode(copies))
-        .withColumn(
-            "data_source",
-            F.when(F.col("batch_type") == "baseline", "baseline").otherwise("production_batch"),
-        )
-        .withColumn("batch_file_name", batch)
-        .drop("_order", "_copy")
+        F.explode(copies).alias("_copy"),
+    ).select(
+        *kept, "fraud_probability_simulated", source.alias("data_source"), batch.alias("batch_file_name")
     )

@@ -78,10 +78,9 @@ def train(df: DataFrame, config: TrainConfig = TrainConfig()) -> PipelineModel:
     ensure_checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
     categorical, numeric = column_roles(feature_frame(df))
     data = feature_label(df)
-    weighted = data.crossJoin(
-        F.broadcast(class_weight(data).select(F.col("scale_pos_weight").alias("_ratio")))
-    ).withColumn(
-        "_weight", F.when(F.col(TARGET) == 1, F.coalesce("_ratio", F.lit(1.0))).otherwise(F.lit(1.0))
+    ratio = class_weight(data).select("scale_pos_weight").scalar()
+    weighted = data.withColumn(
+        "_weight", F.when(F.col(TARGET) == 1, F.coalesce(ratio, F.lit(1.0))).otherwise(F.lit(1.0))
     )
     trees = GBTClassifier(
         labelCol=TARGET,

@@ -29,8 +29,8 @@ def non_negative(counts: list[str]) -> Column:
 def with_buckets(hist: DataFrame, series: str, value: str, buckets: int) -> DataFrame:
     """Add the range number of ``value`` within its series.
 
-    Cuts come from an approximate quantile sketch over histogram rows. They are one
-    row holding at most series x buckets doubles, hence the broadcast.
+    Cuts come from an approximate quantile sketch over histogram rows: a scalar
+    subquery of at most series x buckets doubles.
     """
     if buckets <= 1:
         return hist.withColumn(BUCKET, F.lit(0))
@@ -38,7 +38,7 @@ def with_buckets(hist: DataFrame, series: str, value: str, buckets: int) -> Data
     cuts = (
         hist.groupBy(series)
         .agg(F.percentile_approx(value, shares, max(1000, 20 * buckets)).alias("cuts"))
-        .agg(F.map_from_entries(F.collect_list(F.struct(series, "cuts"))).alias("_all_cuts"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(series, "cuts"))).alias("all_cuts"))
     )
     # Binary search for the number of cuts below the value.
     steps = [2**k for k in reversed(range((buckets - 1).bit_length()))]
@@ -50,10 +50,9 @@ def with_buckets(hist: DataFrame, series: str, value: str, buckets: int) -> Data
         ).otherwise(found),
     )
     return (
-        hist.crossJoin(F.broadcast(cuts))
-        .withColumn("_cuts", F.col("_all_cuts")[F.col(series)])
+        hist.withColumn("_cuts", cuts.scalar()[F.col(series)])
         .withColumn(BUCKET, F.when(F.col(value).isNull(), F.lit(0)).otherwise(below))
-        .drop("_cuts", "_all_cuts")
+        .drop("_cuts")
     )
 
 

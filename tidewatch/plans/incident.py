@@ -12,9 +12,8 @@ from tidewatch.operators.reporting import anomalous, assign_severity
 
 def with_context(report: DataFrame, comparison: DataFrame, n: int = 10) -> DataFrame:
     """Report rows with severity and the shared table of largest attribution changes."""
-    # One row of text, so the broadcast is bounded by n lines.
-    table = F.broadcast(render_table(top_changes(comparison, n)))
-    return assign_severity(report).crossJoin(table)
+    table = render_table(top_changes(comparison, n)).scalar()
+    return assign_severity(report).withColumn("top_changes", table)
 
 
 def incidents(report: DataFrame, comparison: DataFrame, n: int = 10) -> DataFrame:

@@ -57,15 +57,18 @@ def train_and_evaluate(
             buckets=monitor.range_buckets,
         )
     )
-    evaluation = metrics.crossJoin(F.broadcast(class_weight(training))).select(
+    balance = class_weight(training).select(
+        F.struct("scale_pos_weight", "negative_count", "positive_count")
+    )
+    evaluation = metrics.withColumn("_balance", balance.scalar()).select(
         "run_name",
         F.lit("Gradient-boosted trees").alias("model_type"),
         F.lit(config.trees).alias("n_estimators"),
         F.lit(config.depth).alias("max_depth"),
         F.lit(config.learning_rate).alias("learning_rate"),
-        "scale_pos_weight",
+        "_balance.scale_pos_weight",
         F.lit(monitor.score_threshold).alias("fraud_threshold"),
-        (F.col("negative_count") + F.col("positive_count")).alias("train_rows"),
+        (F.col("_balance.negative_count") + F.col("_balance.positive_count")).alias("train_rows"),
         F.col("rows").alias("test_rows"),
         F.lit(", ".join(categorical)).alias("categorical_features"),
         F.lit(", ".join(numeric)).alias("numeric_features"),
