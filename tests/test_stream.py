@@ -1,13 +1,15 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.view import transactions
 from tidewatch.operators.drift import numeric_features
 from tidewatch.plans.monitor import load_profile, monitor, save_profile
 from tidewatch.schema import BATCH_COLUMN, TAG_COLUMNS
-from tidewatch.streaming.monitor_stream import monitor_stream, read_batches
+from tidewatch.streaming.monitor_stream import monitor_stream, read_batches, read_text_batches
 
 
-def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, tmp_path, fmt):
     txn = transactions(spark, sf_dir)
     columns = [c for c in txn.columns if c not in TAG_COLUMNS]
     arriving = tmp_path / "arriving"
@@ -16,9 +18,11 @@ def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, t
 
     def arrive(name):
         folder = str(tmp_path / f"{name}-parts")
-        txn.where(F.col(BATCH_COLUMN) == f"{name}.csv").select(*columns).coalesce(1).write.parquet(folder)
-        (part,) = (tmp_path / f"{name}-parts").glob("*.parquet")
-        (arriving / f"{name}.parquet").write_bytes(part.read_bytes())
+        txn.where(F.col(BATCH_COLUMN) == f"{name}.csv").select(*columns).coalesce(1).write.format(
+            fmt
+        ).option("header", True).save(folder)
+        (part,) = (tmp_path / f"{name}-parts").glob(f"*.{fmt}")
+        (arriving / f"{name}.{fmt}").write_bytes(part.read_bytes())
 
     scorer = lambda df: df.withColumn("score", F.col("fraud_probability_simulated"))
     features = numeric_features(txn)
@@ -27,7 +31,10 @@ def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, t
     schema = txn.select(*columns).schema
 
     def run():
-        batches = read_batches(spark, str(arriving), schema)
+        if fmt == "csv":
+            batches = read_text_batches(spark, str(arriving), columns)
+        else:
+            batches = read_batches(spark, str(arriving), schema)
         writer = monitor_stream(
             batches, profile, scorer, str(tmp_path / "report"), str(tmp_path / "state"), "score"
         )

@@ -35,20 +35,29 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     )
 
 
-def _read_text(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
-    # The declared schema follows the header's own column order; enforceSchema=False
-    # makes Spark verify the header of every file instead of mapping by position.
-    schema = T.StructType([T.StructField(c, TEXT_TYPES.get(c, T.StringType())) for c in header])
-    raw = (
-        spark.read.schema(schema)
-        .options(header=True, enforceSchema=False, recursiveFileLookup=True, pathGlobFilter="*.csv")
-        .csv(paths)
-    )
+# enforceSchema=False makes Spark verify the header of every file against the declared
+# columns instead of mapping by position.
+TEXT_OPTIONS = {
+    "header": True,
+    "enforceSchema": False,
+    "recursiveFileLookup": True,
+    "pathGlobFilter": "*.csv",
+}
+
+
+def text_schema(header: list[str]) -> T.StructType:
+    """Declared types in the header's own column order."""
+    return T.StructType([T.StructField(c, TEXT_TYPES.get(c, T.StringType())) for c in header])
+
+
+def clean_text(raw: DataFrame) -> DataFrame:
+    """Missing tokens and NaN to NULL, the label integral, and the batch name from the path."""
+    header = raw.columns
     cells = [
         F.when(~F.col(f.name).isin(*MISSING_TOKENS), F.col(f.name)).alias(f.name)
         if isinstance(f.dataType, T.StringType)
         else F.col(f.name)
-        for f in schema.fields
+        for f in raw.schema.fields
     ]
     batch = F.regexp_extract(F.col("_metadata.file_path"), _BATCH_OF_PATH, 1)
     df = normalise_missing(raw.select(*cells, batch.alias(BATCH_COLUMN)))
@@ -57,6 +66,10 @@ def _read_text(spark: SparkSession, paths: list[str], header: list[str]) -> Data
     return df
 
 
+def _read_text(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
+    return clean_text(spark.read.schema(text_schema(header)).options(**TEXT_OPTIONS).csv(paths))
+
+
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     return _read_text(spark, [path], _header(spark, path)).drop(BATCH_COLUMN)
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidewatch.plans.monitor import BaselineProfile, monitor
 from tidewatch.schema import BATCH_COLUMN, PRODUCTION_SOURCE, TAG_COLUMNS, MonitorConfig, normalise_missing
-from tidewatch.sources.transactions import tag_source
+from tidewatch.sources.transactions import TEXT_OPTIONS, clean_text, tag_source, text_schema
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -28,6 +28,16 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType, max_files
     return normalise_missing(df)
 
 
+def read_text_batches(
+    spark: SparkSession, path: str, header: list[str], max_files: int | None = None
+) -> DataFrame:
+    """Text batches (``*.csv``) with the given header columns, cleaned as in a batch read."""
+    reader = spark.readStream.schema(text_schema(header)).options(**TEXT_OPTIONS)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return clean_text(reader.csv(path))
+
+
 def monitor_stream(
     batches: DataFrame,
     profile: BaselineProfile,
