@@ -536,3 +536,16 @@ ORACLE = {
 ORACLE["feature_drift_ranges"] = ORACLE["feature_drift"]
 ORACLE["roc_auc_ranges"] = ORACLE["roc_auc"]
 ORACLE["profile_report"] = ORACLE["monitoring_report"]
+ORACLE["split_rows"] = sql(
+    "SELECT transaction_id, amount, label_fraud FROM transactions WHERE data_source = 'baseline'"
+)
+ORACLE["gbt_report_facts"] = sql(
+    f"""SELECT batch_name, "rows", {r('fraud_rate_actual')} AS fraud_rate_actual,
+        {r('max_feature_drift_score')} AS max_feature_drift_score, most_drifted_feature,
+        {r('missing_percentage')} AS missing_percentage, duplicate_rows FROM report""",
+    *REPORT,
+)
+ORACLE["shap_additivity"] = sql(
+    """SELECT batch_file_name, count(*) AS total_rows, CAST(0 AS DOUBLE) AS largest_gap
+       FROM transactions GROUP BY 1"""
+)

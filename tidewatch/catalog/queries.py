@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tidewatch.operators import quality, reporting, validation
 from tidewatch.operators.drift import feature_drift, feature_drift_flag, numeric_features, prediction_drift
 from tidewatch.operators.model import TrainConfig, encoder_stages, feature_frame, score
 from tidewatch.operators.sampling import sample_per_key, train_test_split
+from tidewatch.operators.tree_shap import tree_shap_rows
 from tidewatch.plans.explain import batch_importance, compare_batches
 from tidewatch.plans.incident import incident_lookup, incident_prompts, incidents
 from tidewatch.plans.monitor import load_profile, monitor, save_profile
@@ -405,9 +407,6 @@ def q_split_sizes(spark, sf_dir):
 
 def q_one_hot(spark, sf_dir):
     """Rows per batch in each one-hot slot, encoded with the baseline's categories."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
     txn = transactions(spark, sf_dir)
     categorical, numeric = column_roles(txn)
     fitted = Pipeline(stages=encoder_stages(categorical, numeric)[:2]).fit(baseline(txn))
@@ -466,6 +465,44 @@ def q_explain_batches(spark, sf_dir):
     return compare_batches(batch_importance(fitted_model(spark, sf_dir), transactions(spark, sf_dir)))
 
 
+def q_gbt_report_facts(spark, sf_dir):
+    """The part of the trained model's report that does not depend on its scores."""
+    return rounded(
+        q_gbt_report(spark, sf_dir).select(
+            "batch_name",
+            "rows",
+            "fraud_rate_actual",
+            "max_feature_drift_score",
+            "most_drifted_feature",
+            "missing_percentage",
+            "duplicate_rows",
+        )
+    )
+
+
+def q_shap_additivity(spark, sf_dir):
+    """Largest gap between a row's attributions plus expectation and its log-odds, per batch."""
+    model, txn = fitted_model(spark, sf_dir), transactions(spark, sf_dir)
+    margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
+    rows = model.transform(txn).select(*txn.columns, margin.alias("margin"))
+    total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) + F.col("expected")
+    return (
+        tree_shap_rows(model, rows, [BATCH_COLUMN, "margin"])
+        .groupBy(BATCH_COLUMN)
+        .agg(
+            F.count("*").alias("total_rows"),
+            F.round(F.max(F.abs(total - 2 * F.col("margin"))), 9).alias("largest_gap"),
+        )
+    )
+
+
+def q_split_rows(spark, sf_dir):
+    """Both parts of the split together: every baseline row, once per copy."""
+    return train_test_split(baseline(transactions(spark, sf_dir))).drop("split").select(
+        "transaction_id", "amount", TARGET
+    )
+
+
 def on_transactions(operator):
     return lambda spark, sf_dir: operator(transactions(spark, sf_dir))
 
@@ -528,11 +565,14 @@ QUERIES = {
     "sample_sizes": q_sample_sizes,
     "train_test_split": q_train_test_split,
     "split_sizes": q_split_sizes,
+    "split_rows": q_split_rows,
     "one_hot": q_one_hot,
     "train_eval": q_train_eval,
     "train_log": q_train_log,
     "gbt_scores": q_gbt_scores,
     "gbt_report": q_gbt_report,
+    "gbt_report_facts": q_gbt_report_facts,
     "tree_shap": q_tree_shap,
+    "shap_additivity": q_shap_additivity,
     "explain_batches": q_explain_batches,
 }
