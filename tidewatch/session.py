@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +22,15 @@ def range_buckets(spark: SparkSession, series: int, requested: int | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, as the session has it.
 
-    A temporary folder is used only by a local session, where driver and
-    executors are one machine.
+    Where that is unset, a folder below the warehouse, which a cluster shares as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tidewatch-")
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    folder = f"{warehouse}/tidewatch-intermediates"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
