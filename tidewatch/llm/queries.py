@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm.common import table
+from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.packing import pack
 from tidewatch.llm.records import read_records, record_digests, write_records
 from tidewatch.session import run_folder
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that five or more of them share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in record files, digested from those files."""
     folder = run_folder(spark, "records")
@@ -26,6 +34,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op5_token_records": op5_token_records,
     "op9_packing": op9_packing,
 }
