@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm.common import held_out, table
+from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.packing import pack
 from tidewatch.llm.records import read_records, record_digests, write_records
@@ -19,6 +20,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from two thirds of them."""
+    return identify(table(spark, sf_dir, "documents"), ~held_out("doc_id"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in record files, digested from those files."""
     folder = run_folder(spark, "records")
@@ -35,6 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_language_id": op4_language_id,
     "op5_token_records": op5_token_records,
     "op9_packing": op9_packing,
 }
