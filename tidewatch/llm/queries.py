@@ -11,6 +11,7 @@ from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.packing import pack
 from tidewatch.llm.records import read_records, record_digests, write_records
+from tidewatch.llm.toxicity import score_toxicity
 from tidewatch.session import run_folder
 
 
@@ -33,6 +34,12 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digests(read_records(index, folder))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels of two thirds of them."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_toxicity(docs, labels, ~held_out("doc_id"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,5 +50,6 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_records": op5_token_records,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
 }
