@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import slices, written
 from tidewatch.llm.grams import hashes, letters, segments, spread_bits
 
-ORDERS = (3, 4, 5)
-BITS = 18
-SMOOTHING = 1.0
+ORDERS = (4, 5, 6)
+BITS = 19
+# Added to a feature's counts, shared out over the classes by their size, so that rare features lean to neither.
+SMOOTHING = 40.0
+# Features that say less than this either way get no weight.
+LEAST_RATIO = 0.7
 # The bound of the sample that the weights are fitted to: this many rows of either class, expected.
 FIT_ROWS = 4_000
 PENALTY = 1.0
@@ -64,7 +67,7 @@ def count_features(rows: DataFrame) -> DataFrame:
             yield _rows(
                 np.array([b // _BLOCK for b in blocks], np.int64),
                 np.full(len(blocks), label),
-                [sums[label, b : b + _BLOCK].astype("<i8").tobytes() for b in blocks],
+                [sums[label, b : b + _BLOCK].astype("<i4").tobytes() for b in blocks],
             )
 
     return rows.mapInArrow(count, "block int, toxic int, data binary")
@@ -80,7 +83,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for block, toxic, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            part = np.frombuffer(data, "<i8")
+            part = np.frombuffer(data, "<i4").astype("<i8")
             sums[block, toxic] = sums[block, toxic] + part if (block, toxic) in sums else part
     for (block, toxic), total in sums.items():
         yield _rows(np.array([block]), np.array([toxic]), [total.tobytes()])
@@ -88,18 +91,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ratios(parts: DataFrame) -> np.ndarray:
     """Log-count ratio of every feature; the counts that reach the driver are two per feature."""
-    sums = np.full((2, 1 << BITS), SMOOTHING)
+    sums = np.zeros((2, 1 << BITS))
     merged = parts.where("block >= 0").repartition("block", "toxic").mapInArrow(_merge, parts.schema)
     for row in merged.toLocalIterator():
         part = np.frombuffer(row["data"], "<i8")
         sums[row["toxic"], row["block"] * _BLOCK : row["block"] * _BLOCK + len(part)] += part
-    return np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    totals = np.maximum(sums.sum(axis=1), 1)[:, None]
+    logs = np.log((sums + SMOOTHING * totals / totals.sum()) / totals)
+    return np.where(np.abs(logs[1] - logs[0]) >= LEAST_RATIO, logs[1] - logs[0], 0.0)
 
 
 def fit_weights(
     lists: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, importance: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """Weights (scaled by ``scale``) and intercept of the penalised logistic regression."""
+    lists = [x[scale[x] != 0] for x in lists]
     flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
     sizes = np.array([len(x) for x in lists], np.int64)
     owner, values = np.repeat(np.arange(len(sizes)), sizes), scale[flat]
