@@ -98,7 +98,7 @@ def cut_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             found = []
             for doc_id, ids in zip(
                 batch.column("doc_id").to_pylist(), encode.encode(batch.column("text").to_pylist()), strict=True

@@ -10,7 +10,7 @@ from tidewatch.llm.common import held_out, table
 from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.packing import pack
-from tidewatch.llm.records import read_records, record_digests, write_records
+from tidewatch.llm.records import read_digests, write_records
 from tidewatch.llm.toxicity import score_toxicity
 from tidewatch.session import run_folder
 
@@ -31,7 +31,7 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "records")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     index = write_records(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
-    return record_digests(read_records(index, folder))
+    return read_digests(index, folder)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

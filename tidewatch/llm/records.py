@@ -90,7 +90,7 @@ def write_records(
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.rec"
         out, position, row, start = None, 0, 0, 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             if out is None:
                 store.create_dir(f"{root}/data")
                 out = store.open_output_stream(f"{root}/data/{name}")
@@ -132,8 +132,8 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """One row per index row, in whatever order they come: doc_id, start, and the ids read back."""
+def _payloads(index: DataFrame, folder: str, make, schema: str) -> DataFrame:
+    """``make(index rows, ids of each)`` on the records of the index rows, read and verified by the tasks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
@@ -151,38 +151,34 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     if head[:-1] != MAGIC:
                         raise ValueError(f"not a record file: {file}")
                     width = f"<u{head[-1]}"
-                ids.append(np.frombuffer(unframe(source, position), width).astype("<i8"))
-            flat = pa.array(np.concatenate(ids))
-            ends = np.cumsum([0, *map(len, ids)]).astype("<i4")
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("start"), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                names=["doc_id", "start", "ids"],
-            )
+                ids.append(np.frombuffer(unframe(source, position), width))
+            yield make(batch, ids)
         if source is not None:
             source.close()
 
-    return index.select("doc_id", "start", "file", "position").mapInArrow(
-        read, "doc_id long, start long, ids array<long>"
-    )
+    return index.select("doc_id", "start", "file", "position").mapInArrow(read, schema)
 
 
-def record_digests(rows: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, folder: str) -> DataFrame:
+    """One row per index row, in whatever order they come: doc_id, start, and the ids read back."""
+
+    def make(batch: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
+        flat = pa.array(np.concatenate(ids).astype("<i8"))
+        ends = np.cumsum([0, *map(len, ids)]).astype("<i4")
+        lists = pa.ListArray.from_arrays(pa.array(ends), flat)
+        return pa.record_batch([batch.column("doc_id"), batch.column("start"), lists], names=["doc_id", "start", "ids"])
+
+    return _payloads(index, folder, make, "doc_id long, start long, ids array<long>")
+
+
+def read_digests(index: DataFrame, folder: str) -> DataFrame:
     """Per record read back: doc_id, start, n_tokens and the crc32 of its ids as u32 little-endian."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            data = flat.tobytes()
-            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    batch.column("start"),
-                    pa.array(np.diff(ends).astype("<i8")),
-                    pa.array(crc, pa.int64()),
-                ],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+    def make(batch: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = pa.array([len(x) for x in ids], pa.int64())
+        crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+        return pa.record_batch(
+            [batch.column("doc_id"), batch.column("start"), sizes, crc], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+        )
 
-    return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _payloads(index, folder, make, "doc_id long, start long, n_tokens long, ids_crc32 long")

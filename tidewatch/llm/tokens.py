@@ -10,14 +10,38 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-# Words remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 200_000
+# Words remembered by a worker; beyond it those not met again lately are forgotten.
+REMEMBERED = 300_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+# One or two of a word tokenizer's units: letters, or letters and the signs after them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-/:-@\\[-`{-~]*)")
+
+
+class Memory:
+    """The ids of words met lately, in two generations."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those not remembered; the others are kept for another generation."""
+        if len(self.new) > REMEMBERED // 2:
+            self.old, self.new = self.new, {}
+        gone = []
+        for w in words - self.new.keys():
+            if w in self.old:
+                self.new[w] = self.old[w]
+            else:
+                gone.append(w)
+        return gone
 
 
 class Encoder:
@@ -30,34 +54,74 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = _way_to_cut(json.loads(self.tokenizer.to_str()))
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        # Whether an id ends a unit (words) or starts with a space (the other way of cutting).
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.endswith("</w>") if self.cut is _words else token.startswith("\u0120")
+        self.first, self.later = Memory(), Memory()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
-            return self._ids(texts)
+            return self._one_by_one(texts)
         pieces = [self.cut(t) for t in texts]
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        lead = " " if self.cut is _before_spaces else ""
-        self._learn(self.first, {p[0] for p in pieces}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in pieces)), lead)
-        first, later = self.first, self.later.__getitem__
+        first = self._learn(self.first, {p[0] for p in pieces}, self._one_by_one)
+        together = self._words if self.cut is _words else self._after_spaces
+        later = self._learn(self.later, set().union(*(p[1:] for p in pieces)), together).__getitem__
         return [first[p[0]] + b"".join(map(later, p[1:])) for p in pieces]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._ids([lead + w for w in new]), strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _learn(self, memory: Memory, words: set[str], encode) -> dict[str, bytes]:
+        new = memory.missing(words)
+        known = memory.new
+        known.update(zip(new, encode(new), strict=True))
+        return known
+
+    def _one_by_one(self, texts: list[str], lead: str = "") -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([lead + t for t in texts] if lead else texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _together(self, texts: list[str]) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)[0].ids, "<u4")
+
+    def _after_spaces(self, words: list[str]) -> list[bytes]:
+        """Words that follow a space, as one text: each begins with an id that starts with a space."""
+        plain = [w for w in words if w.split() == [w]]
+        if not plain:
+            return self._one_by_one(words, " ")
+        ids = self._together([" " + " ".join(plain)])
+        found = _cut_at(ids, np.append(np.flatnonzero(self.edge[ids]), len(ids)))
+        if len(found) != len(plain):
+            return self._one_by_one(words, " ")
+        return self._with_rest(words, plain, found, " ")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of one or two units as one text: each unit ends with an id that says so."""
+        units = [(w, 1 + bool(m[2])) for w in words if (m := _PLAIN.fullmatch(w))]
+        if not units:
+            return self._one_by_one(words)
+        plain = [w for w, _ in units]
+        ids = self._together([" ".join(plain)])
+        ends = np.flatnonzero(self.edge[ids]) + 1
+        counts = np.cumsum([n for _, n in units])
+        if len(ends) != counts[-1]:
+            return self._one_by_one(words)
+        return self._with_rest(words, plain, _cut_at(ids, np.append(0, ends[counts - 1])), "")
+
+    def _with_rest(self, words: list[str], plain: list[str], found: list[bytes], lead: str) -> list[bytes]:
+        known = dict(zip(plain, found, strict=True))
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self._one_by_one(rest, lead), strict=True))
+        return [known[w] for w in words]
 
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
 
+def _cut_at(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    data, bounds = ids.tobytes(), (4 * at).tolist()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def _before_spaces(text: str) -> list[str]:
     """The first piece, then those that follow a space, without it."""
     odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
@@ -68,6 +132,8 @@ def _before_spaces(text: str) -> list[str]:
 
 
 def _words(text: str) -> list[str]:
+    if text.isascii() or not _BEYOND_LATIN.search(text):  # there, lower case is the same everywhere
+        text = text.lower()
     return text.replace("\n", " ").split(" ")
 
 
