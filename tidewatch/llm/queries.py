@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import held_out, table
+from tidewatch.llm.html_text import extract_text
 from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.packing import pack
@@ -46,10 +47,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer, end_id=1)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_records": op5_token_records,
     "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
+    "op10_html_text": op10_html_text,
 }
