@@ -12,6 +12,7 @@ from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.packing import pack
 from tidewatch.llm.records import read_digests, write_records
+from tidewatch.llm.setsketch import near_duplicates
 from tidewatch.llm.toxicity import score_toxicity
 from tidewatch.session import run_folder
 
@@ -41,6 +42,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labels, ~held_out("doc_id"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose word shingles agree to 85 percent."""
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +63,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_token_records": op5_token_records,
     "op6_toxicity": op6_toxicity,
+    "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
 }
