@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import held_out, table
+from tidewatch.llm.containment import contaminated
 from tidewatch.llm.html_text import extract_text
 from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
@@ -42,6 +43,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labels, ~held_out("doc_id"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least four fifths of a benchmark item's shingles, with the item."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose word shingles agree to 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
@@ -63,6 +70,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_token_records": op5_token_records,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
