@@ -12,6 +12,7 @@ from tidewatch.llm.html_text import extract_text
 from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.packing import pack
+from tidewatch.llm.quality import classify
 from tidewatch.llm.records import read_digests, write_records
 from tidewatch.llm.setsketch import near_duplicates
 from tidewatch.llm.toxicity import score_toxicity
@@ -24,6 +25,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the trusted ones, and whether it is kept."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from two thirds of them."""
     return identify(table(spark, sf_dir, "documents"), ~held_out("doc_id"))
@@ -67,6 +73,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_token_records": op5_token_records,
     "op6_toxicity": op6_toxicity,
