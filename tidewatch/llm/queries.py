@@ -16,6 +16,7 @@ from tidewatch.llm.quality import classify
 from tidewatch.llm.records import read_digests, write_records
 from tidewatch.llm.setsketch import near_duplicates
 from tidewatch.llm.toxicity import score_toxicity
+from tidewatch.llm.vectors import nearest
 from tidewatch.session import run_folder
 
 
@@ -25,6 +26,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the trusted ones, and whether it is kept."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
@@ -73,6 +79,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_neighbours": op2_neighbours,
     "op3_quality": op3_quality,
     "op4_language_id": op4_language_id,
     "op5_token_records": op5_token_records,
