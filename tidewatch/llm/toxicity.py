@@ -8,10 +8,10 @@ regression with a quadratic penalty, fitted to a sample of at most about ``FIT_R
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,54 +26,73 @@ SMOOTHING = 40.0
 # Features that say less than this either way get no weight.
 LEAST_RATIO = 0.7
 # The bound of the sample that the weights are fitted to: this many rows of either class, expected.
-FIT_ROWS = 4_000
+FIT_ROWS = 3_000
 PENALTY = 1.0
 STEPS = 150
 TOXIC_FROM = 0.7
 _BLOCK = 1 << 14
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once, in order of the text."""
-    found = []
+def _scan(texts: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For stretches of the texts: the text of each position, and the feature that ends there, per order."""
     edge = np.full(1, 32, np.uint32)
     points = [np.concatenate([edge, p, edge]) if len(p) else p for p in map(letters, texts)]
     for flat, at, which in segments(points, max(ORDERS)):
         h = hashes(flat, max(ORDERS))
-        own = [(which << BITS) | spread_bits(h[k][at] + np.uint64(k), BITS) for k in ORDERS]
-        found.append(np.unique(np.concatenate(own)))
-    pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
-    if len(found) > 1:
-        pairs = np.unique(pairs)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+        yield which, [spread_bits(h[k][at] + np.uint64(k), BITS) for k in ORDERS]
+
+
+def features(texts: list[str]) -> list[np.ndarray]:
+    """The different features of each text."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for which, own in _scan(texts):
+        starts = np.flatnonzero(np.diff(which, prepend=-1))
+        for i, a, b in zip(which[starts], starts, [*starts[1:], len(which)], strict=True):
+            found[i] += [f[a:b] for f in own]
+    place, out = np.zeros(1 << BITS, np.int32), []
+    for parts in found:
+        f = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        order = np.arange(len(f), dtype=np.int32)
+        place[f] = order  # the last place of a feature is the one that counts
+        out.append(f[place[f] == order])
+    return out
+
+
+def margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """The sum of each text's features' weights, each feature once."""
+    pairs = [np.zeros(0, np.int64)]
+    for which, own in _scan(texts):
+        for f in own:
+            some = np.flatnonzero(weights[f])
+            pairs.append((which[some] << BITS) | f[some])
+    once = np.unique(np.concatenate(pairs))
+    return np.bincount(once >> BITS, weights[once & ((1 << BITS) - 1)], minlength=len(texts))
 
 
 def count_features(rows: DataFrame) -> DataFrame:
     """One pass over (text, toxic, fit): partial counts by block of features, and the sample's features."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        sums = np.zeros((2, 1 << BITS), np.int32)
         for batch in slices(batches):
-            toxic, fit = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("toxic", "fit"))
-            which, feature = features(batch.column("text").to_pylist())
-            for label in (0, 1):
-                sums[label] += np.bincount(feature[toxic[which] == label], minlength=1 << BITS)
-            chosen = np.flatnonzero(fit)
-            starts, ends = np.searchsorted(which, chosen), np.searchsorted(which, chosen, "right")
-            lists = [feature[a:b].astype("<i4").tobytes() for a, b in zip(starts, ends, strict=True)]
-            yield _rows(np.full(len(chosen), -1), toxic[chosen], lists)
+            toxic, fit = (batch.column(c).to_pylist() for c in ("toxic", "fit"))
+            found = features(batch.column("text").to_pylist())
+            for label, own in zip(toxic, found, strict=True):
+                sums[label][own] += 1
+            chosen = [i for i, f in enumerate(fit) if f]
+            yield _rows(np.full(len(chosen), -1), [toxic[i] for i in chosen], [found[i].astype("<i4").tobytes() for i in chosen])
         for label in (0, 1):
             blocks = [b for b in range(0, 1 << BITS, _BLOCK) if sums[label, b : b + _BLOCK].any()]
             yield _rows(
                 np.array([b // _BLOCK for b in blocks], np.int64),
-                np.full(len(blocks), label),
-                [sums[label, b : b + _BLOCK].astype("<i4").tobytes() for b in blocks],
+                [label] * len(blocks),
+                [zlib.compress(sums[label, b : b + _BLOCK].astype("<i8").tobytes(), 1) for b in blocks],
             )
 
     return rows.mapInArrow(count, "block int, toxic int, data binary")
 
 
-def _rows(block: np.ndarray, toxic: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+def _rows(block: np.ndarray, toxic: list[int], data: list[bytes]) -> pa.RecordBatch:
     return pa.record_batch(
         [pa.array(block, pa.int32()), pa.array(toxic, pa.int32()), pa.array(data, pa.binary())], names=["block", "toxic", "data"]
     )
@@ -83,10 +102,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for block, toxic, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            part = np.frombuffer(data, "<i4").astype("<i8")
+            part = np.frombuffer(zlib.decompress(data), "<i8")
             sums[block, toxic] = sums[block, toxic] + part if (block, toxic) in sums else part
     for (block, toxic), total in sums.items():
-        yield _rows(np.array([block]), np.array([toxic]), [total.tobytes()])
+        yield _rows(np.array([block]), [toxic], [total.tobytes()])
 
 
 def ratios(parts: DataFrame) -> np.ndarray:
@@ -105,7 +124,6 @@ def fit_weights(
     lists: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, importance: np.ndarray
 ) -> tuple[np.ndarray, float]:
     """Weights (scaled by ``scale``) and intercept of the penalised logistic regression."""
-    lists = [x[scale[x] != 0] for x in lists]
     flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
     sizes = np.array([len(x) for x in lists], np.int64)
     owner, values = np.repeat(np.arange(len(sizes)), sizes), scale[flat]
@@ -141,18 +159,20 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float] | None:
     parts = written(count_features(rows.select("text", "toxic", fit.cast("int").alias("fit"))), "toxicity")
     scale = ratios(parts)
 
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        toxic = frame["toxic"].to_numpy(np.float64)
-        lists = [np.frombuffer(x, "<i4") for x in frame["data"]]
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, labels = [], []
+        for batch in batches:
+            own = [np.frombuffer(x, "<i4") for x in batch.column("data").to_pylist()]
+            lists += [x[scale[x] != 0] for x in own]
+            labels += batch.column("toxic").to_pylist()
+        toxic = np.array(labels, np.float64)
         # A class of which fewer rows were taken counts as many times more.
         importance = np.where(toxic == 1, 1 / rates[1], 1 / rates[0])
-        w, b = fit_weights(lists, toxic, scale, importance * len(toxic) / importance.sum())
-        return pd.DataFrame({"weights": [w.astype("<f8").tobytes()], "intercept": [b]})
+        w, b = fit_weights(lists, toxic, scale, importance * len(toxic) / max(importance.sum(), 1))
+        yield pa.record_batch([pa.array([w.astype("<f8").tobytes()]), pa.array([b])], names=["weights", "intercept"])
 
-    sample = parts.where("block < 0").select("block", "toxic", "data")
-    found = sample.groupBy("block").applyInPandas(learn, "weights binary, intercept double").first()
-    if found is None:
-        return None
+    sample = parts.where("block < 0").select("toxic", "data").coalesce(1)
+    found = sample.mapInArrow(learn, "weights binary, intercept double").first()
     return np.frombuffer(found["weights"], "<f8"), found["intercept"]
 
 
@@ -180,11 +200,10 @@ def score_toxicity(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, sums = batch.num_rows, np.zeros(batch.num_rows)
+            sums = np.zeros(batch.num_rows)
             if shared.value is not None:
                 weights, intercept = shared.value
-                which, feature = features(batch.column("text").to_pylist())
-                margin = np.bincount(which, weights[feature], minlength=n) + intercept
+                margin = margins(batch.column("text").to_pylist(), weights) + intercept
                 sums = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(sums), pa.array((sums >= TOXIC_FROM).astype("i4"))],
