@@ -63,7 +63,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose word shingles agree to 85 percent."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "group_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

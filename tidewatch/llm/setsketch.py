@@ -131,7 +131,7 @@ def _least_estimate(threshold: float) -> float:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): n_shingles, set_id (equal for equal sets, null for none) and registers."""
+    """Per row of (doc_id, text): text_hash, n_shingles, set_id (equal for equal sets, null for none), registers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -139,11 +139,17 @@ def sketch(docs: DataFrame) -> DataFrame:
             rows, sizes = registers(hashed, ends), np.diff(ends, prepend=0)
             sets = [_set_id(hashed[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(sizes.astype("<i8")), pa.array(sets, pa.int64()), pa.array([r.tobytes() for r in rows])],
-                names=["doc_id", "n_shingles", "set_id", "registers"],
+                [
+                    *(batch.column(c) for c in ("doc_id", "text_hash")),
+                    pa.array(sizes.astype("<i8")),
+                    pa.array(sets, pa.int64()),
+                    pa.array([r.tobytes() for r in rows], pa.binary()),
+                ],
+                names=["doc_id", "text_hash", "n_shingles", "set_id", "registers"],
             )
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, set_id long, registers binary")
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return named.mapInArrow(make, "doc_id long, text_hash long, n_shingles long, set_id long, registers binary")
 
 
 def _set_id(hashed: np.ndarray) -> int | None:
@@ -293,7 +299,8 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """Per row: doc_id, ``n_shingles``, ``component_id``, ``kept`` and ``set_id`` (null without words).
+    """Per row: doc_id, ``n_shingles``, ``component_id``, ``kept``, and for use
+    with whole rows: ``text_hash`` (xxhash64 of the text) and ``group_id`` (null without words).
 
     Rows are linked when 100 * intersection >= percent * union of their shingle sets; ``component_id`` is the
     smallest doc_id reachable, ``kept`` says that it is the row's own. Texts without words, missing or
@@ -327,9 +334,9 @@ def near_duplicates(
 
     named = classes.select("set_id", "rep").join(labels, "set_id", "left").select("set_id", "rep", label.alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    names = named.join(smallest, "label").select("set_id", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
+    names = named.join(smallest, "label").select("set_id", "component_id", F.col("label").alias("group_id"))
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "set_id").join(names, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_id"
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "group_id"
     )
