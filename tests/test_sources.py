@@ -54,6 +54,26 @@ def test_columns_are_matched_by_name(spark, folder):
     assert len(rows) == 6 and rows["t9"].amount == 9.0 and rows["t9"].channel is None
 
 
+def test_text_as_it_is_written(spark, tmp_path):
+    """Doubled quotes, names with blanks and signs, folders below, damaged cells and lines."""
+    (tmp_path / "my batch.csv").write_text(HEADER + 't1,1.5,3,"a ""b"", c",1\n')
+    (tmp_path / "x=y+z%41.csv").write_text(HEADER + "t2,2,4,web,0\n")
+    (tmp_path / "archive").mkdir()
+    (tmp_path / "archive" / "old.csv").write_text(HEADER + "t3,1,1,web,0\n")
+    rows = {r.transaction_id: r for r in load_batches(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"t1", "t2"}
+    assert rows["t1"].channel == 'a "b", c' and rows["t1"].label_fraud == 1
+    assert [rows[t].batch_file_name for t in ("t1", "t2")] == ["my batch.csv", "x=y+z%41.csv"]
+    (tmp_path / "broken.csv").write_text(HEADER + 't4,1,2,"two\nlines",0\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_batches(spark, str(tmp_path)).collect()
+    read = load_batches(spark, str(tmp_path), multi_line=True).where("transaction_id = 't4'").collect()
+    assert [r.channel for r in read] == ["two\nlines"]
+    (tmp_path / "broken.csv").write_text(HEADER + "t5,abc,2,web,0\n")
+    with pytest.raises(Exception, match="not a number in amount: abc"):
+        load_batches(spark, str(tmp_path)).collect()
+
+
 def test_union_keeps_duplicates_and_fills_absent_columns(spark, folder):
     batches = load_batches(spark, str(folder))
     both = union_sources(load_baseline(spark, str(folder / "b1.csv")), batches.drop("amount"))

@@ -27,7 +27,7 @@ def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, t
     scorer = lambda df: df.withColumn("score", F.col("fraud_probability_simulated"))
     features = numeric_features(txn)
     save_profile(scorer(txn.where("data_source = 'baseline'")), "score", features, str(tmp_path / "profile"))
-    profile = load_profile(spark, features, str(tmp_path / "profile"))
+    profile = load_profile(spark, str(tmp_path / "profile"), features)
     schema = txn.select(*columns).schema
 
     def run():

@@ -6,7 +6,7 @@ digests, UNION ALL instead of arrays), so that agreement means something.
 
 from __future__ import annotations
 
-from tidewatch.catalog.queries import EXPLAINED_BATCH, VALIDATION_TEXT
+from tidewatch.catalog.queries import EXPLAINED_BATCH
 from tidewatch.functions import text
 from tidewatch.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, REPORT_COLUMNS
 
@@ -287,14 +287,21 @@ INCIDENTS = [
 LOADED = """transaction_id, amount, ip_risk_score, CAST(transaction_hour AS DOUBLE) AS transaction_hour,
   channel, label_fraud"""
 
-RISK_PROFILE = """SELECT batch_file_name, batch_type, count(*) AS total_transactions,
-  round(avg(label_fraud), 4) AS fraud_rate,
-  round(avg(fraud_probability_simulated), 4) AS avg_simulated_fraud_probability,
-  round(avg(amount), 2) AS avg_transaction_amount, round(avg(login_velocity_24h), 2) AS avg_login_velocity,
-  round(avg(device_trust_score), 4) AS avg_device_trust_score,
-  round(avg(ip_risk_score), 4) AS avg_ip_risk_score,
-  round(avg(merchant_risk_score), 4) AS avg_merchant_risk_score
-  FROM transactions GROUP BY 1, 2 ORDER BY 1"""
+# Output names and digits of the risk profile's means.
+MEANS = {
+    "fraud_rate": ("label_fraud", 4),
+    "avg_simulated_fraud_probability": (SCORE, 4),
+    "avg_transaction_amount": ("amount", 2),
+    "avg_login_velocity": ("login_velocity_24h", 2),
+    "avg_device_trust_score": ("device_trust_score", 4),
+    "avg_ip_risk_score": ("ip_risk_score", 4),
+    "avg_merchant_risk_score": ("merchant_risk_score", 4),
+}
+RISK_PROFILE = (
+    "SELECT batch_file_name, batch_type, count(*) AS total_transactions, "
+    + ", ".join(f"round(sum({c})::DOUBLE / count({c}), {digits}) AS {name}" for name, (c, digits) in MEANS.items())
+    + " FROM transactions GROUP BY ALL"
+)
 
 EVENTS = ks_ctes(
     """SELECT CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 'first_week'
@@ -363,19 +370,30 @@ ORACLE = {
     "volume_by_source": sql("SELECT data_source, count(*) AS total_rows FROM transactions GROUP BY 1"),
     "risk_profile": sql(RISK_PROFILE),
     "missing_by_batch": sql(
-        """SELECT batch_file_name,
-           CAST(sum(CASE WHEN amount IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_amount,
-           CAST(sum(CASE WHEN login_velocity_24h IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_login_velocity,
-           CAST(sum(CASE WHEN device_trust_score IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_device_trust_score,
-           CAST(sum(CASE WHEN ip_risk_score IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_ip_risk_score,
-           CAST(sum(CASE WHEN merchant_risk_score IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_merchant_risk_score
-           FROM transactions GROUP BY 1 ORDER BY 1"""
+        "SELECT batch_file_name, "
+        + ", ".join(
+            f"count(*) - count({c}) AS missing_{c.removesuffix('_24h')}"
+            for c in ("amount", "login_velocity_24h", "device_trust_score", "ip_risk_score", "merchant_risk_score")
+        )
+        + " FROM transactions GROUP BY ALL"
     ),
     "high_risk_by_batch": sql(
-        f"""SELECT batch_file_name, count(*) AS high_risk_transactions, round(avg({SCORE}), 4) AS avg_simulated_risk
-            FROM transactions WHERE {SCORE} >= CAST(0.30 AS DOUBLE) GROUP BY 1 ORDER BY 2 DESC, 1"""
+        """SELECT * FROM per_batch WHERE high_risk_transactions > 0""",
+        f"""per_batch AS (SELECT batch_file_name,
+             count(*) FILTER (high) AS high_risk_transactions,
+             round(sum(risk) FILTER (high) / count(*) FILTER (high), 4) AS avg_simulated_risk
+             FROM (SELECT batch_file_name, {SCORE} AS risk, {SCORE} >= 0.3::DOUBLE AS high FROM transactions)
+             GROUP BY batch_file_name)""",
+    ),
+    "validation_sql": sql(
+        """SELECT t.data_source, t.channel, count(*) AS payments,
+           count(*) FILTER (t.amount >= m.mean) AS large_payments,
+           round(sum(t.amount) FILTER (t.amount >= m.mean) / sum(t.amount), 6) AS large_share
+           FROM transactions t JOIN means m
+           ON t.data_source = m.data_source AND t.channel IS NOT DISTINCT FROM m.channel
+           WHERE t.amount IS NOT NULL GROUP BY 1, 2""",
+        "means AS (SELECT data_source, channel, avg(amount) AS mean FROM transactions GROUP BY 1, 2)",
     ),
-    "validation_sql": sql(VALIDATION_TEXT),
     "data_quality": sql(
         f"""SELECT batch_file_name, {r('missing_percentage', 8)} AS missing_percentage, duplicate_rows,
             data_quality_issue_detected FROM quality""",

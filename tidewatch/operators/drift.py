@@ -27,8 +27,8 @@ def numeric_features(txn: DataFrame) -> list[str]:
 def value_histogram(txn: DataFrame, features: list[str], batch: str = BATCH_COLUMN) -> DataFrame:
     """Rows per (feature position, batch, value). A missing value leaves a row with count 0,
     so every (batch, feature) pair stays present even when all its values are missing."""
-    # Adding zero makes -0.0 and 0.0 one value.
-    values = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features])
+    # Adding zero makes -0.0 and 0.0 one value. NaN is a missing value.
+    values = F.array(*[F.nanvl(F.col(c).cast("double") + F.lit(0.0), F.lit(None).cast("double")) for c in features])
     return (
         txn.select(
             F.col(batch).alias("batch_name"),

@@ -52,8 +52,9 @@ def classification_metrics(counts: DataFrame) -> DataFrame:
 
 def score_histogram(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Rows, positives and negatives per distinct score: all later metrics derive from it,
-    so an expensive score is computed once per row."""
-    return df.groupBy(*keys, (F.col(score).cast("double") + F.lit(0.0)).alias("score")).agg(
+    so an expensive score is computed once per row. A score of NaN is a missing one."""
+    known = F.nanvl(F.col(score).cast("double") + F.lit(0.0), F.lit(None).cast("double"))
+    return df.groupBy(*keys, known.alias("score")).agg(
         F.count("*").alias("n"),
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"),

@@ -30,8 +30,11 @@ def row_digest(df: DataFrame, columns: list[str]) -> Column:
     return F.unhex(F.sha2(F.to_json(F.struct(*fields)), 256))
 
 
-def missing_cells(columns: list[str]) -> Column:
-    return sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+def missing_cells(df: DataFrame, columns: list[str]) -> Column:
+    """NULL and, in floating columns, NaN."""
+    floating = {c for c, t in df.dtypes if t in ("double", "float")}
+    missing = (F.col(c).isNull() | F.isnan(c) if c in floating else F.col(c).isNull() for c in columns)
+    return sum((m.cast("int") for m in missing), F.lit(0))
 
 
 def quality_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -41,7 +44,7 @@ def quality_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     of one row meet map-side first, so a heavily repeated row is no hot spot.
     """
     per_row = (
-        df.select(*keys, row_digest(df, columns).alias("_digest"), missing_cells(columns).alias("_missing"))
+        df.select(*keys, row_digest(df, columns).alias("_digest"), missing_cells(df, columns).alias("_missing"))
         .groupBy(*keys, "_digest")
         .agg(F.count("*").alias("copies"), F.sum("_missing").alias("missing"))
     )
@@ -61,7 +64,7 @@ def missing_share(df: DataFrame, keys=(BATCH_COLUMN,), columns: list[str] | None
     """Missing cells / all cells; needs no row comparison, hence no wide shuffle."""
     columns = columns or original_columns(df)
     return df.groupBy(*keys).agg(
-        (F.sum(missing_cells(columns)) / (F.count("*") * len(columns))).alias("missing_percentage")
+        (F.sum(missing_cells(df, columns)) / (F.count("*") * len(columns))).alias("missing_percentage")
     )
 
 

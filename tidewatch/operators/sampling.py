@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,26 @@ def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def sample_per_key(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows of every key. The rank filter is also applied before the shuffle,
-    so a key holding most rows sends at most n of them per task."""
-    ranked = Window.partitionBy(*keys).orderBy(row_order(df, seed))
-    return df.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n).drop("_rank")
+    """At most ``n`` rows of every key.
+
+    Counts by key and leading hash bits say below which hash a key has its n rows; only
+    rows up to that bound are ranked, so a key that holds most rows sends about n of them.
+    """
+    hashed = df.withColumn("_hash", row_order(df, seed)).withColumn(
+        "_bucket", F.shiftrightunsigned("_hash", 64 - _BUCKET_BITS)
+    )
+    upto = Window.partitionBy(*keys).orderBy("_bucket")
+    counts = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("n"))
+    bounds = (
+        counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        .where(F.col("before") < n)
+        .groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
+        .agg(F.max("_bucket").alias("_last"))
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    near = hashed.join(bounds, same).where(F.col("_bucket") <= F.col("_last"))
+    ranked = Window.partitionBy(*keys).orderBy("_bucket", "_hash", *df.columns)
+    return near.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= n).select(*df.columns)
 
 
 def class_quota(sizes: DataFrame, label: str, test_size: float) -> DataFrame:
@@ -63,17 +81,19 @@ def train_test_split(
     per class; bucket counts locate the one bucket where the class quota is met. Rows
     in other buckets are settled by comparison alone, and only that bucket is ranked.
     There, equal rows are ranked as one counted row, so copies cannot flood a task.
+    Rows without a label are a class like any other.
     """
     columns = list(df.columns)
     hashed = df.withColumn("_hash", row_order(df, seed)).withColumn(
         "_bucket", F.shiftrightunsigned("_hash", 64 - _BUCKET_BITS)
     )
     counts = hashed.groupBy(label, "_bucket").agg(F.count("*").alias("n"))
-    quota = class_quota(df.groupBy(label).agg(F.count("*").alias("size")), label, test_size)
+    sizes = counts.groupBy(label).agg(F.sum("n").alias("size"))
+    quota = class_quota(sizes, label, test_size).withColumnRenamed(label, "_quota_class")
     upto = Window.partitionBy(label).orderBy("_bucket")
     cut = (
         counts.withColumn("upto", F.sum("n").over(upto))
-        .join(quota, label)
+        .join(quota, F.col(label).eqNullSafe(F.col("_quota_class")))
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select(
             F.col(label).alias("_class"),
@@ -82,7 +102,7 @@ def train_test_split(
         )
     )
     # One row per class.
-    placed = hashed.join(F.broadcast(cut), F.col(label) == F.col("_class"), "left")
+    placed = hashed.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_class")), "left")
     settled = placed.where(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut"))).select(
         *columns, F.when(F.col("_bucket") < F.col("_cut"), "test").otherwise("train").alias("split")
     )

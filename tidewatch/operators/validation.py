@@ -70,6 +70,5 @@ def high_risk_by_batch(txn: DataFrame, threshold: float = MonitorConfig.score_th
 
 
 def validate(txn: DataFrame, sql: str) -> DataFrame:
-    """Run SQL text that reads a table named ``transactions``."""
-    txn.createOrReplaceTempView("transactions")
-    return txn.sparkSession.sql(sql)
+    """Run SQL text in which ``{transactions}`` stands for the table; no view of the session is touched."""
+    return txn.sparkSession.sql(sql, transactions=txn)

@@ -42,15 +42,21 @@ class BaselineProfile:
 
 
 def save_profile(baseline: DataFrame, score: str, features: list[str], path: str) -> None:
-    """Write the profile of a tagged and scored baseline."""
+    """Write the profile of a tagged and scored baseline, with the names of its features and score."""
     value_histogram(baseline, features).write.mode("overwrite").parquet(f"{path}/histogram")
-    baseline.agg(F.avg(score).alias("avg_predicted_risk")).write.mode("overwrite").parquet(f"{path}/risk")
+    names = F.array(*[F.lit(c) for c in features]).alias("features")
+    risk = baseline.agg(F.avg(score).alias("avg_predicted_risk")).select("*", names, F.lit(score).alias("score"))
+    risk.write.mode("overwrite").parquet(f"{path}/risk")
 
 
-def load_profile(spark: SparkSession, features: list[str], path: str) -> BaselineProfile:
-    return BaselineProfile(
-        features, spark.read.parquet(f"{path}/histogram"), spark.read.parquet(f"{path}/risk")
-    )
+def load_profile(spark: SparkSession, path: str, features: list[str] | None = None) -> BaselineProfile:
+    """A stored profile. The histogram knows its features by position, so their names are read back;
+    ``features``, if given, must be the same ones."""
+    risk = spark.read.parquet(f"{path}/risk")
+    stored = list(risk.first()["features"])
+    if features is not None and sorted(features) != sorted(stored):
+        raise ValueError(f"the profile is of {stored}, not of {list(features)}")
+    return BaselineProfile(stored, spark.read.parquet(f"{path}/histogram"), risk.select("avg_predicted_risk"))
 
 
 def monitor(
@@ -68,12 +74,13 @@ def monitor(
     numeric features, and all original columns (for missing cells and duplicates).
     Each branch ends in one row per batch; only these are joined. ``columns`` names
     the original columns when ``txn`` carries added ones besides the score. With a
-    ``profile`` the baseline comes from there and ``txn`` holds production rows only.
+    ``profile`` the baseline comes from there, and baseline rows of ``txn`` are left out.
     """
     require_columns(txn, [SOURCE_COLUMN, BATCH_COLUMN, score, label])
     columns = columns or original_columns(txn)
-    if profile is not None:
+    if profile is not None:  # the baseline comes from there, so its rows here would count twice
         features = profile.features
+        txn = txn.where(F.col(SOURCE_COLUMN) != BASELINE_SOURCE)
     features = list(features) if features is not None else numeric_features(txn.select(*columns))
 
     by_batch = batch_performance(txn, score, label, config=config)

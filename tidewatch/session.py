@@ -11,14 +11,10 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Keeps the cut lists small; it bounds the parallelism of one series, not its rows.
-MOST_BUCKETS = 4096
-
-
 def range_buckets(spark: SparkSession, series: int, requested: int | None = None) -> int:
     """Value ranges per series so that ``series * buckets`` fills the shuffle width."""
     wanted = requested if requested is not None else -(-shuffle_width(spark) // max(1, series))
-    return max(1, min(wanted, MOST_BUCKETS))
+    return max(1, wanted)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,13 +41,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, label: str) -> str:
     """A new sub-folder name under the shared folder; nothing is ever overwritten."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a scan out to all cores when its files yield fewer splits than that.
-
-    A table of many files is returned untouched, so nothing large is ever moved.
-    Dealing by key needs no sort, unlike dealing in turn.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

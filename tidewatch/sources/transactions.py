@@ -6,6 +6,7 @@ itself writes it. All batches form a single DataFrame with a batch column.
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,81 +25,89 @@ from tidewatch.schema import (
     normalise_missing,
 )
 
-# Last path component that ends in .csv, with an optional part file below it.
-_BATCH_OF_PATH = r"([^/=]+\.csv)(?:/part-[^/]*)?$"
+# Last path component that ends in .csv (without its partition column), or the one above a part file.
+_BATCH_OF_PATH = rf"(?:^|/)(?:{BATCH_COLUMN}=)?([^/]+\.csv)(?:/part-[^/]*)?$"
 
-
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first line; only that line is read."""
-    return (
-        spark.read.options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv").csv(path).columns
-    )
-
-
-# enforceSchema=False makes Spark verify the header of every file against the declared
-# columns instead of mapping by position.
+# enforceSchema=False makes Spark verify the header of every file against the declared columns
+# instead of mapping by position. A quote inside quotes is doubled. FAILFAST fails on a line with too
+# few or too many cells, such as half of one that a quoted line break splits (see ``multi_line``).
 TEXT_OPTIONS = {
     "header": True,
     "enforceSchema": False,
-    "recursiveFileLookup": True,
+    "escape": '"',
+    "mode": "FAILFAST",
     "pathGlobFilter": "*.csv",
 }
 
 
+def _files(path: str) -> str:
+    """A batch itself, or all batches of a folder: one level, so folders below it are none."""
+    return path if path.rstrip("/").endswith(".csv") else f"{path.rstrip('/')}/*.csv"
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the first line; only that line is read."""
+    return spark.read.options(header=True, escape='"', pathGlobFilter="*.csv").csv(_files(path)).columns
+
+
 def text_schema(header: list[str]) -> T.StructType:
-    """Declared types in the header's own column order."""
-    return T.StructType([T.StructField(c, TEXT_TYPES.get(c, T.StringType())) for c in header])
+    """All cells as text; :func:`clean_text` gives them their types."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in header])
 
 
 def clean_text(raw: DataFrame) -> DataFrame:
-    """Missing tokens and NaN to NULL, the label integral, and the batch name from the path."""
-    header = raw.columns
-    cells = [
-        F.when(~F.col(f.name).isin(*MISSING_TOKENS), F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, T.StringType)
-        else F.col(f.name)
-        for f in raw.schema.fields
-    ]
-    batch = F.regexp_extract(F.col("_metadata.file_path"), _BATCH_OF_PATH, 1)
-    df = normalise_missing(raw.select(*cells, batch.alias(BATCH_COLUMN)))
-    if TARGET in header:
+    """Missing tokens and NaN to NULL, numbers cast, the label integral, the batch name from the path.
+
+    A cell that is neither missing nor a number where one belongs fails the read.
+    """
+    cells = []
+    for c in raw.columns:
+        known = F.when(~F.trim(c).isin(*MISSING_TOKENS), F.col(c))
+        number = None if isinstance(TEXT_TYPES.get(c), T.StringType) else TEXT_TYPES.get(c)
+        broken = F.raise_error(F.concat(F.lit(f"not a number in {c}: "), known))
+        typed = F.coalesce(known.try_cast(number), F.when(known.isNotNull(), broken.cast(number))) if number else known
+        cells.append(typed.alias(c))
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    df = normalise_missing(raw.select(*cells, F.regexp_extract(decoded, _BATCH_OF_PATH, 1).alias(BATCH_COLUMN)))
+    if TARGET in raw.columns:
         df = df.withColumn(TARGET, F.col(TARGET).cast("int"))
     return df
 
 
-def _read_text(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
-    return clean_text(spark.read.schema(text_schema(header)).options(**TEXT_OPTIONS).csv(paths))
+def _read_text(spark: SparkSession, paths: list[str], header: list[str], multi_line: bool = False) -> DataFrame:
+    reader = spark.read.schema(text_schema(header)).options(**TEXT_OPTIONS, multiLine=multi_line)
+    return clean_text(reader.csv(paths))
 
 
-def load_baseline(spark: SparkSession, path: str) -> DataFrame:
-    return _read_text(spark, [path], _header(spark, path)).drop(BATCH_COLUMN)
+def load_baseline(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """``multi_line`` allows line breaks inside quotes, here and below; such files cannot be split."""
+    return _read_text(spark, [_files(path)], _header(spark, path), multi_line).drop(BATCH_COLUMN)
 
 
-def load_batch(spark: SparkSession, path: str, name: str) -> DataFrame:
+def load_batch(spark: SparkSession, path: str, name: str, multi_line: bool = False) -> DataFrame:
     """One batch by name; only its files are opened."""
     target = f"{path.rstrip('/')}/{name}"
-    return _read_text(spark, [target], _header(spark, target)).drop(BATCH_COLUMN)
+    return _read_text(spark, [target], _header(spark, target), multi_line).drop(BATCH_COLUMN)
 
 
-def load_batches(spark: SparkSession, path: str, same_header: bool = True) -> DataFrame:
-    """Every batch below ``path`` in one read, tagged with its batch name.
+def load_batches(
+    spark: SparkSession, path: str, same_header: bool = True, multi_line: bool = False
+) -> DataFrame:
+    """Every batch in the folder ``path`` in one read, tagged with its batch name.
 
-    With ``same_header`` a file whose header differs fails the job. Otherwise
-    the files are grouped by header first (one look at the first line per file)
-    and joined by column name, absent columns becoming NULL.
+    With ``same_header`` a file whose header differs fails the job. Otherwise the files are grouped by
+    header first (their first lines come from one distributed read) and joined by column name,
+    absent columns becoming NULL.
     """
     if same_header:
-        return _read_text(spark, [path], _header(spark, path))
-    listing = (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.csv")
-        .load(path)
-        .select("path")
-    )
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for row in listing.toLocalIterator():
-        by_header.setdefault(tuple(_header(spark, row.path)), []).append(row.path)
-    parts = [_read_text(spark, files, list(header)) for header, files in sorted(by_header.items())]
+        return _read_text(spark, [_files(path)], _header(spark, path), multi_line)
+    lines = spark.read.options(pathGlobFilter="*.csv").text(_files(path))
+    first = lines.where("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file"))
+    by_header = first.agg(F.first("value").alias("line")).groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    parts = [
+        _read_text(spark, row["files"], next(csv.reader([row["line"].removeprefix("\ufeff")])), multi_line)
+        for row in by_header.orderBy("line").collect()
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
