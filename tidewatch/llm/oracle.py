@@ -1,3 +1,42 @@
-"""DuckDB counterparts of the text queries that SQL can express."""
+"""DuckDB counterparts of the text queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others have none: they rest on tokenizer files, trained models or approximate search, or would take SQL
+too long on whole tables (near duplicates); the tests hold those against brute force.
+"""
+
+import string
+
+LOW = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+SPACE = r"[\x20\x09-\x0D]"
+
+LINE_DEDUP = rf"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
+keyed AS (SELECT *, translate(regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g'), {LOW}) AS key FROM numbered),
+common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, line, place, coalesce(keeper = doc_id, true) AS kept FROM keyed LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (kept), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def _shingles(table: str, key: str) -> str:
+    """The different five-word shingles of a table's texts; each text has five words or more, or none counts."""
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), {LOW}), '{SPACE}+'), lambda w: w <> '')"
+    return f"""SELECT DISTINCT {key}, array_to_string(words[place:place + 4], ' ') AS shingle
+      FROM (SELECT {key}, words, unnest(range(1, len(words) - 3)) AS place
+            FROM (SELECT {key}, {words} AS words FROM {table}) AS w WHERE len(words) >= 5) AS s"""
+
+
+DECONTAMINATION = f"""
+WITH held AS ({_shingles("documents", "doc_id")}),
+asked AS ({_shingles("benchmark", "item_id")}),
+sizes AS (SELECT item_id, count(*) AS shingles FROM asked GROUP BY item_id)
+SELECT doc_id, item_id, shingles, count(*) AS shared, count(*)::DOUBLE / shingles AS containment
+FROM held JOIN asked USING (shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, shingles HAVING count(*) >= 0.8 * shingles - 1e-9
+"""
+
+ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op7_decontamination": DECONTAMINATION}
