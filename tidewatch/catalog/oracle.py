@@ -8,7 +8,13 @@ from __future__ import annotations
 
 from tidewatch.catalog.queries import EXPLAINED_BATCH
 from tidewatch.functions import text
-from tidewatch.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, REPORT_COLUMNS
+from tidewatch.schema import (
+    CATEGORICAL_FEATURES,
+    NUMERIC_FEATURES,
+    REPORT_COLUMNS,
+    REPORT_DECIMALS,
+    REPORT_FLAGS,
+)
 
 TRANSACTIONS = """
 base AS (
@@ -255,9 +261,9 @@ RENDERED = [
 def template(wording: str, extra: dict[str, str]) -> str:
     """The wording with its fields as a SQL concatenation."""
     fields = dict(extra)
-    for c in text._DECIMALS:
+    for c in REPORT_DECIMALS:
         fields[c] = f"""format('{{:.4f}}', round("{c}", 4))"""
-    for c in text._FLAGS:
+    for c in REPORT_FLAGS:
         fields[c] = f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
     for c in ("batch_name", "severity", "rows", "most_drifted_feature", "duplicate_rows", "top_changes"):
         fields[c] = f'CAST("{c}" AS VARCHAR)'
@@ -478,7 +484,7 @@ ORACLE = {
     ),
     "flag_labels": sql(
         "SELECT batch_name, "
-        + ", ".join(f"{_FLAG.format(c)} AS {c}" for c in text._FLAGS)
+        + ", ".join(f"{_FLAG.format(c)} AS {c}" for c in REPORT_FLAGS)
         + ", CASE WHEN anomaly_detected THEN 'Anomaly Detected' ELSE 'Normal Batch' END AS status FROM report",
         *REPORT,
     ),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.schema import REPORT_DECIMALS, REPORT_FLAGS
+
 
 def clean_batch_name(name: str | Column) -> Column:
     name = F.col(name) if isinstance(name, str) else name
@@ -31,7 +33,7 @@ def status_label(anomaly: str | Column) -> Column:
     return F.when(anomaly, F.lit("Anomaly Detected")).otherwise(F.lit("Normal Batch"))
 
 
-ISSUE_FLAGS = ("prediction_drift_detected", "feature_drift_detected", "data_quality_issue_detected")
+ISSUE_FLAGS = REPORT_FLAGS[:-1]
 
 
 def severity() -> Column:
@@ -133,21 +135,13 @@ Recommended Action:
 Retraining Recommendation:
 """
 
-_DECIMALS = (
-    "fraud_rate_actual", "avg_predicted_risk", "baseline_avg_risk", "prediction_drift_score",
-    "max_feature_drift_score", "missing_percentage", "accuracy", "roc_auc", "f1_score",
-    "precision", "recall",
-)
-_FLAGS = (*ISSUE_FLAGS, "anomaly_detected")
-
-
 def report_fields() -> dict[str, Column]:
     """Report columns as text: four decimals, True/False flags, plain counts and names.
 
     A value that is undefined (ROC-AUC of a one-class batch) reads "nan".
     """
-    decimals = {c: F.coalesce(fixed(c), F.lit("nan")) for c in _DECIMALS}
-    flags = {c: F.when(F.col(c), F.lit("True")).otherwise(F.lit("False")) for c in _FLAGS}
+    decimals = {c: F.coalesce(fixed(c), F.lit("nan")) for c in REPORT_DECIMALS}
+    flags = {c: F.when(F.col(c), F.lit("True")).otherwise(F.lit("False")) for c in REPORT_FLAGS}
     plain = {
         c: F.col(c).cast("string")
         for c in ("batch_name", "severity", "rows", "most_drifted_feature", "duplicate_rows", "top_changes")

@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import flag_label, severity, status_label
+from tidewatch.schema import REPORT_COLUMNS, REPORT_FLAGS
 
 RISK_COLUMNS = ("avg_predicted_risk", "baseline_avg_risk")
-PERFORMANCE_COLUMNS = ("accuracy", "roc_auc", "f1_score", "precision", "recall")
-FLAG_COLUMNS = (
-    "prediction_drift_detected",
-    "feature_drift_detected",
-    "data_quality_issue_detected",
-    "anomaly_detected",
-)
+PERFORMANCE_COLUMNS = REPORT_COLUMNS[REPORT_COLUMNS.index("accuracy") :]
+FLAG_COLUMNS = REPORT_FLAGS
 
 
 def melt(report: DataFrame, ids: list[str], values: list[str], variable: str, value: str) -> DataFrame:

@@ -57,6 +57,7 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "",
 )
 
+# The report's column names, their order and types.
 REPORT_SCHEMA = T.StructType(
     [
         T.StructField("batch_name", T.StringType()),
@@ -82,6 +83,9 @@ REPORT_SCHEMA = T.StructType(
 )
 
 REPORT_COLUMNS = tuple(REPORT_SCHEMA.names)
+REPORT_DECIMALS = tuple(f.name for f in REPORT_SCHEMA if f.dataType == T.DoubleType())
+# The flags of single issues, and last the one of any issue.
+REPORT_FLAGS = tuple(f.name for f in REPORT_SCHEMA if f.dataType == T.BooleanType())
 
 IMPORTANCE_SCHEMA = T.StructType(
     [T.StructField("feature", T.StringType()), T.StructField("mean_abs_shap", T.DoubleType())]
