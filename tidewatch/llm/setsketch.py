@@ -7,9 +7,9 @@ the joint likelihood of greater, smaller and equal registers, and those that can
 confirmed on the full sets.
 
 Texts with equal sets are one class from the start. In each bucket every class is first held against
-one pivot; what that links becomes one component, so a large group of near copies costs a star, not
-all its pairs. Buckets that still hold several components are then compared across these, in square
-blocks of bounded size: no link is lost, and pairs inside a component are never formed.
+one pivot, the class that meets most others; what that links becomes one component, so a large group of
+near copies costs a star, not all its pairs. Buckets that still hold several components are then
+compared across these, in pairs of blocks of bounded size: no link is lost, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2  # scale step, rate of the exponential, cut-off
 DEVIATIONS = 4.0  # an estimate this far below the threshold rules a pair out
-BLOCK = 512  # classes on one side of a comparison
+BLOCK_BYTES = 8_000_000  # registers and sets on one side of a comparison
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -157,7 +157,7 @@ def _set_id(hashed: np.ndarray) -> int | None:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, set_id) of every class and band."""
+    """(bucket, band, set_id) of every class and band."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
@@ -166,9 +166,10 @@ def bands(classes: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
             ids = np.repeat(batch.column("set_id").to_numpy(), BANDS)
-            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "set_id"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(rows))
+            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(ids)], names=["bucket", "band", "set_id"])
 
-    return classes.select("set_id", "registers").mapInArrow(cut, "bucket long, set_id long")
+    return classes.select("set_id", "registers").mapInArrow(cut, "bucket long, band int, set_id long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -246,36 +247,59 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components in each bucket of (bucket, set_id, label, n_shingles, registers).
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the rows of each bucket, each pair in its first common one.
 
-    A bucket is cut into blocks; every pair of blocks is one unit of at most about two blocks' rows.
+    ``members`` has bucket, band, set_id, label, n_shingles, registers and the sorted set. A bucket is cut
+    into blocks of about ``BLOCK_BYTES``; every pair of blocks is one unit. In a unit the likely pairs are
+    confirmed on the sets, and those inside what is joined already are left out.
     """
-    least = _least_estimate(threshold)
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    least = _least_estimate(percent / 100)
+    size = F.octet_length("registers") + F.octet_length("set")
+    sizes = members.groupBy("bucket").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = dealt.withColumn("other", other).select(
-        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set_id", "label", "n_shingles", "registers"
-    )
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "band", "own", "set_id", "label", "n_shingles", "registers", "set",
+    )
 
-    def compare(group: pd.DataFrame) -> np.ndarray:
-        if len(group) < 2:
-            return np.zeros((0, 2), np.int64)
+    def compare(group: pd.DataFrame) -> list[tuple[int, int]]:
         ids, label, n, own = (group[c].to_numpy() for c in ("set_id", "label", "n_shingles", "own"))
-        i, j = np.triu_indices(len(ids), 1)
-        ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
-        if group["low"].iloc[0] != group["high"].iloc[0]:
-            ok &= own[i] != own[j]
-        i, j = i[ok], j[ok]
+        if len(ids) < 2 or (label == label[0]).all():
+            return []
         rows = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(-1, REGISTERS)
-        out = []
-        for at in range(0, len(i), 20_000):
-            x, y = i[at : at + 20_000], j[at : at + 20_000]
-            good = estimate(rows[x], rows[y], n[x], n[y]) >= least
-            a, b = ids[x[good]], ids[y[good]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
+        band, both_blocks = int(group["band"].iloc[0]), group["low"].iloc[0] != group["high"].iloc[0]
+        roots: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in roots:
+                x = roots[x]
+            return x
+
+        links = []
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            ok = (label[j] != label[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if both_blocks:
+                ok &= own[j] != own[i]
+            j = j[ok]
+            same = rows[j] == rows[i]
+            ok = same.sum(axis=1) >= (least - 0.05) * REGISTERS
+            ok &= ~same[:, : band * ROWS].reshape(len(j), band, ROWS).all(axis=2).any(axis=1)  # met before
+            j = j[ok]
+            if len(j):
+                j = j[estimate(np.broadcast_to(rows[i], (len(j), REGISTERS)), rows[j], np.full(len(j), n[i]), n[j]) >= least]
+            for k in j:
+                a, b = root(label[i]), root(label[k])
+                if a != b:
+                    place = np.minimum(np.searchsorted(sets[i], sets[k]), len(sets[i]) - 1)
+                    shared = int((sets[i][place] == sets[k]).sum())
+                    if 100 * shared >= percent * (n[i] + n[k] - shared):
+                        roots[a] = b
+                        links.append((ids[i], ids[k]))
+        return links
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, rest = ["bucket", "low", "high"], None
@@ -288,14 +312,29 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
             yield pairs(rest, unit)
 
     def pairs(frame: pd.DataFrame, unit: list[str]) -> pd.DataFrame:
-        found = [compare(g) for _, g in frame.groupby(unit, sort=False)]
-        both = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+        found = [x for _, g in frame.groupby(unit, sort=False) for x in compare(g)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     sorted_units = units.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return sorted_units.mapInPandas(walk, "a long, b long").distinct()
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, set) of the wanted classes (set_id, rep): the sorted shingle hashes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashed, ends = shingle_sets([t.encode() for t in batch.column("text").to_pylist()])
+            own = np.split(hashed, ends[:-1])
+            yield pa.record_batch(
+                [pa.array([_set_id(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["set_id", "set"]
+            )
+
+    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    same = docs["doc_id"].eqNullSafe(reps["doc_id"])
+    return docs.join(reps, same, "left_semi").mapInArrow(make, "set_id long, set binary").dropDuplicates(["set_id"])
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -317,19 +356,25 @@ def near_duplicates(
         "classes",
     )
     buckets = written(bands(classes), "buckets")
-    pivots = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set_id").alias("a")).where("n > 1")
-    spokes = buckets.join(pivots, "bucket").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
+    # The pivot of a bucket is the class that meets most others over all its bands: often the original.
+    crowded = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    shared = written(buckets.join(crowded, "bucket"), "shared-buckets")
+    met = shared.groupBy("set_id").agg(F.sum("n").alias("met"))
+    central = F.max(F.struct("met", "set_id"))["set_id"].alias("a")
+    pivots = shared.join(met, "set_id").groupBy("bucket").agg(central)
+    spokes = shared.join(pivots, "bucket").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     stars = written(likely(spokes, classes, threshold), "stars")
     links = written(confirm(stars, rows, classes, percent), "star-links")
 
     labels = components(links)
     label = F.coalesce("label", "set_id")
-    labelled = classes.join(labels, "set_id", "left").select("set_id", label.alias("label"), "n_shingles", "registers")
-    tagged = buckets.join(pivots.select("bucket"), "bucket").join(labelled.select("set_id", "label"), "set_id")
+    labelled = classes.join(labels, "set_id", "left").select("set_id", "rep", label.alias("label"), "n_shingles", "registers")
+    tagged = shared.join(labelled.select("set_id", "label"), "set_id")
     mixed = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    members = buckets.join(mixed.select("bucket"), "bucket").join(labelled, "set_id")
-    rest = across(members, threshold).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = confirm(written(rest, "across"), rows, classes, percent)
+    rest = written(tagged.join(mixed.select("bucket"), "bucket").select("bucket", "band", "set_id"), "mixed-buckets")
+    wanted = labelled.join(rest.select("set_id").distinct(), "set_id", "left_semi")
+    full = written(wanted.join(sets_of(rows, wanted), "set_id").drop("rep"), "sets")
+    more = across(rest.join(full, "set_id"), percent)
     labels = components(written(links.union(more), "all-links"))
 
     named = classes.select("set_id", "rep").join(labels, "set_id", "left").select("set_id", "rep", label.alias("label"))
