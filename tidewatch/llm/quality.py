@@ -82,10 +82,9 @@ def probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
     asked = {ORDER: wanted.select("gram")}
     for k in range(ORDER - 1, 0, -1):
         lower = F.substring("gram", 2, k).alias("gram")
-        counts[k] = counts[k + 1].select(lower).groupBy("gram").agg(F.count("*").alias("n"))
-        asked[k] = asked[k + 1].select(lower).distinct()
-        if k == ORDER - 1:
-            counts[k], asked[k] = written(counts[k], "lower-counts"), written(asked[k], "lower-asked")
+        # Each order's tables are stored, so no plan spans more than one order.
+        counts[k] = written(counts[k + 1].select(lower).groupBy("gram").agg(F.count("*").alias("n")), "lower-counts")
+        asked[k] = written(asked[k + 1].select(lower).distinct(), "lower-asked")
     letters = counts[1].count()
     found = None
     for k in range(1, ORDER + 1):
@@ -101,7 +100,7 @@ def probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
         else:
             rows = rows.join(found.select(F.col("gram").alias("lower"), F.col("p").alias("below")), "lower")
         p = F.coalesce(F.col("kept") / F.col("total"), F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("below")
-        found = rows.join(sums, "context", "left").join(own, "gram", "left").select("gram", p.alias("p"))
+        found = written(rows.join(sums, "context", "left").join(own, "gram", "left").select("gram", p.alias("p")), "probabilities")
     return found.select("gram", F.log("p").alias("log_p"))
 
 
@@ -119,8 +118,11 @@ def hashed(table: DataFrame) -> DataFrame:
 
 def _sums(rows: DataFrame, shard: DataFrame, number: int, of: int) -> DataFrame:
     """Each row's sum over the n-grams of one shard, and its characters."""
-    held = shard.toPandas().sort_values("key")
-    table = rows.sparkSession.sparkContext.broadcast((held["key"].to_numpy(), held["log_p"].to_numpy()))
+    held = shard.toArrow()
+    keys, values = (held.column(c).to_numpy() for c in ("key", "log_p"))
+    order = np.argsort(keys)
+    table = rows.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    del held, keys, values, order
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = table.value
@@ -139,7 +141,9 @@ def _sums(rows: DataFrame, shard: DataFrame, number: int, of: int) -> DataFrame:
                 names=["row", "doc_id", "lang", "total", "size"],
             )
 
-    return rows.mapInArrow(score, "row long, doc_id long, lang string, total double, size long")
+    sums = written(rows.mapInArrow(score, "row long, doc_id long, lang string, total double, size long"), "sums")
+    table.destroy()
+    return sums
 
 
 def perplexities(
@@ -160,11 +164,12 @@ def perplexities(
     if not shards:  # no text at all
         return rows.select("row", "doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(0).cast("long").alias("size"))
     place = lambda s: F.pmod(F.col("key"), F.lit(shards)) == s
+    # One shard after the other, so that the driver and the tasks hold one at a time.
     parts = [_sums(rows, table.where(place(s)), s, shards) for s in range(shards)]
     total = parts[0]
     if shards > 1:
         same = ["row", "doc_id", "lang", "size"]
-        total = reduce(DataFrame.union, [written(p, "partial-sums") for p in parts])
+        total = reduce(DataFrame.union, parts)
         # Rows alike in all of these have the same sum: each shard gave it once per row.
         total = total.groupBy(same).agg((F.sum("total") / (F.count("*") / shards)).alias("total"), F.count("*").alias("n"))
         total = total.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / shards).cast("int")))).select(*same, "total")
@@ -199,7 +204,7 @@ def classify(
     )
     good = written(known.where("_label = 1").select("_id"), "trusted-ids")
     trusted = docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    trusted = trusted.where(~calibrates(F.col("_id"))).join(good, "_id", "left_semi").select("text")
+    trusted = trusted.where(~calibrates(F.col("_id"))).join(good.hint("merge"), "_id", "left_semi").select("text")
     scored = written(perplexities(docs, trusted, id_column, text_column, lang_column), "perplexities")
     seen = scored.where(F.col("perplexity").isNotNull() & calibrates(F.col("doc_id")))
     seen = seen.join(good, F.col("doc_id") == F.col("_id"), "left_semi")
