@@ -194,7 +194,8 @@ def score_toxicity(
     known = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("labelled")).agg(
         F.max(F.col(label_column).cast("int")).alias("toxic")
     )
-    learnable = rows.where(learn_from).join(known, F.col(id_column) == F.col("labelled"))
+    # Labels grow with the corpus, so the plan is the same at every size: a merge, never a broadcast.
+    learnable = rows.where(learn_from).join(known.hint("merge"), F.col(id_column) == F.col("labelled"))
     model = train(learnable.select(F.col(id_column).alias("doc_id"), "text", "toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
