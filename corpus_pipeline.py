@@ -32,9 +32,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _keys(found: DataFrame, text_hash: str) -> DataFrame:
-    """The keys of the rows an operator names by doc_id and the text's hash, each once."""
+    """The keys of the rows an operator names by doc_id and the text's hash, each once.
+
+    They grow with the corpus, so the plan is the same at every size: a merge, never a broadcast.
+    """
     row_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    return found.select(row_id.alias("_row_id"), F.col(text_hash).alias("_row_hash")).distinct()
+    return found.select(row_id.alias("_row_id"), F.col(text_hash).alias("_row_hash")).distinct().hint("merge")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
