@@ -5,7 +5,7 @@ import pandas as pd
 
 from tests.llm.helpers import frame
 from tidewatch.llm.queries import QUERIES
-from tidewatch.llm.vectors import balanced_centroids, nearest, unit
+from tidewatch.llm.vectors import BEAM, RATIO, balanced_centroids, nearest, unit
 
 
 def brute(ids, x, k=5, every=50):
@@ -70,3 +70,13 @@ def test_the_graph_finds_the_nearest_centroid():
     ids, dist = centroids.search(queries)
     assert (np.diff(dist, axis=1) >= 0).all()
     assert (ids[:, 0] == (queries @ centroids.points.T).argmax(axis=1)).mean() > 0.95
+
+
+def test_the_ratio_decides_however_many_lists_lie_within_it():
+    random = np.random.default_rng(5)
+    centroids = balanced_centroids(unit(random.normal(size=(4000, 64))), 400)
+    queries = unit(random.normal(size=(50, 64)))
+    gaps = np.sqrt(2 - 2 * queries @ centroids.points.T)
+    within = [set(np.flatnonzero(g <= RATIO * 0.999 * g.min())) for g in gaps]
+    assert min(len(w) for w in within) > BEAM
+    assert all(w <= set(p) for w, p in zip(within, centroids.probes(queries), strict=True))

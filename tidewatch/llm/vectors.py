@@ -3,8 +3,9 @@
 Centroids come from a balanced clustering of a sample of at most ``SAMPLE`` vectors; every vector of the
 table is listed under its nearest centroid, and vectors near a boundary under further ones. The
 centroids nearest to a vector are found by a beam search over a neighbour graph held in memory. A query
-reads the lists whose centroids are at most a ratio further than its nearest one, in
-pieces of at most about ``PIECE`` vectors, and ranks what it reads by the exact cosine.
+reads all lists whose centroids are at most a ratio further than its nearest one: where the beam ends
+within that ratio, the distances to all centroids are computed. Neighbouring lists form a shard, read in
+pieces of about ``PIECE`` vectors; what is read is ranked by the exact cosine.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ from tidewatch.llm.common import written
 SAMPLE = 20_000
 LIST_ROWS = 200  # vectors per centroid aimed at
 MOST_CENTROIDS = 4_096  # bounds what is broadcast; lists get longer beyond it, their pieces don't
-PIECE = 2_000
+PIECE = 8_000
+QUERIES = 20_000  # of one shard that are held at once
 DEGREE = 16
 BEAM = 64
 REPLICAS = 4
@@ -30,10 +31,11 @@ BOUNDARY = 1.15  # a vector is listed where the centroid is at most so much furt
 RATIO = 1.35  # a query reads a list under the same condition
 LEAST_LISTS = 8
 _BATCH = 1_000
+_BLOCK = 256  # queries compared at once with a piece
 
 
 class Centroids:
-    """Unit vectors, a graph of each one's nearest others, and where a search enters it."""
+    """Unit vectors, a graph of each one's nearest others, where a search enters it, and each one's shard."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -52,6 +54,7 @@ class Centroids:
             links = np.concatenate([np.concatenate(blocks), far], axis=1)
         self.links = links
         self.entries = random.permutation(n)[:16]
+        self.shards = _nearest(points, points[random.permutation(n)[: int(np.ceil(np.sqrt(n)))]])
 
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the nearest centroids found for each row of unit vectors, nearest first."""
@@ -95,9 +98,23 @@ class Centroids:
     def probes(self, x: np.ndarray) -> list[list[int]]:
         """For each query the lists to read: within the ratio, and some in any case."""
         ids, dist = self.search(x)
+        out = self._within(ids, dist)
+        ended = np.isfinite(dist[:, -1]) & (dist[:, -1] > RATIO * dist[:, 0])
+        wide = np.flatnonzero(~ended)  # lists beyond the beam may lie within the ratio
+        gaps = np.sqrt(np.maximum(2 - 2 * x[wide] @ self.points.T, 0))
+        order = np.argsort(gaps, axis=1, kind="stable")
+        for i, own in zip(wide, self._within(order, np.take_along_axis(gaps, order, axis=1)), strict=True):
+            out[i] = own
+        return out
+
+    @staticmethod
+    def _within(ids: np.ndarray, dist: np.ndarray) -> list[list[int]]:
         wanted = (dist <= RATIO * dist[:, :1]) | (np.arange(ids.shape[1]) < LEAST_LISTS)
         return [own[w].tolist() for own, w in zip(ids, wanted & np.isfinite(dist), strict=True)]
 
+    def everything(self, x: np.ndarray) -> list[list[int]]:
+        return [list(range(len(self.points)))] * len(x)
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -172,39 +189,61 @@ def nearest(
     shared = spark.sparkContext.broadcast(balanced_centroids(unit(_matrix(sample)), count))
 
     def listing(choose: str):
+        """One row for each shard that has lists of the vector, with these lists."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, _BATCH):
                     part = batch.slice(at, _BATCH)
                     found = getattr(shared.value, choose)(unit(_matrix(part.column("v"))))
-                    own = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                    lists = pa.array([c for f in found for c in f], pa.int32())
-                    yield pa.record_batch(
-                        [lists, part.column("vec_id").take(own), part.column("v").take(own)], names=["list", "vec_id", "v"]
-                    )
+                    own = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                    lists = np.array([c for f in found for c in f], np.int32)
+                    shard = shared.value.shards[lists].astype(np.int32)
+                    order = np.lexsort((lists, shard, own))
+                    own, lists, shard = own[order], lists[order], shard[order]
+                    new = (own[1:] != own[:-1]) | (shard[1:] != shard[:-1])
+                    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), new]))
+                    ends = np.append(starts[1:], len(own))[: len(starts)]
+                    for first in range(0, len(starts), _BATCH):
+                        some, last = starts[first : first + _BATCH], ends[min(first + _BATCH, len(starts)) - 1]
+                        offsets = np.append(some, last) - some[0]
+                        rows_ = pa.array(own[some])
+                        yield pa.record_batch(
+                            [
+                                pa.array(shard[some]),
+                                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists[some[0] : last])),
+                                part.column("vec_id").take(rows_),
+                                part.column("v").take(rows_),
+                            ],
+                            names=["shard", "lists", "vec_id", "v"],
+                        )
 
         return run
 
-    schema = "list int, vec_id long, v array<double>"
+    schema = "shard int, lists array<int>, vec_id long, v array<double>"
     postings = written(rows.mapInArrow(listing("lists"), schema), "postings")
-    pieces = postings.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    piece = F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")
-    dealt = postings.join(F.broadcast(pieces), "list").withColumn("piece", piece).drop("pieces")
     queries = rows.where(F.col("vec_id") % every == 0)
+    pieces = postings.groupBy("shard").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    keys = ["shard", "piece", "block"]
 
     def read(probes: DataFrame) -> DataFrame:
-        each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
-        asked = probes.join(F.broadcast(pieces), "list").select("list", each, "vec_id", "v")
-        near = asked.groupBy("list", "piece").cogroup(dealt.groupBy("list", "piece")).applyInPandas(
+        """The nearest in each piece of a shard; many queries of one shard are taken in blocks, each with all pieces."""
+        blocks = probes.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+        sizes = F.broadcast(pieces.join(F.broadcast(blocks), "shard"))
+        asked = probes.join(sizes, "shard").withColumn("block", dealt("blocks")).withColumn("piece", numbers("pieces"))
+        held = postings.join(sizes, "shard").withColumn("piece", dealt("pieces")).withColumn("block", numbers("blocks"))
+        columns = [*keys, "lists", "vec_id", "v"]
+        near = asked.select(*columns).groupBy(*keys).cogroup(held.select(*columns).groupBy(*keys)).applyInArrow(
             lambda q, c: _top(q, c, k), "query_id long, vec_id long, score double"
         )
         return near.distinct()
 
-    first = written(read(queries.mapInArrow(listing("probes"), schema)), "neighbours")
+    first = written(read(written(queries.mapInArrow(listing("probes"), schema), "probes")), "neighbours")
     enough = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))
-    short = written(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"), "short")
-    every_list = F.explode(F.sequence(F.lit(0), F.lit(len(shared.value.points) - 1)).cast("array<int>")).alias("list")
-    found = first.union(read(short.select(every_list, "vec_id", "v"))).distinct()
+    short = queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti")
+    found = first.union(read(written(short.mapInArrow(listing("everything"), schema), "short"))).distinct()
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(ranked).cast("int"))
@@ -218,14 +257,45 @@ def cosines(q: np.ndarray, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return (rows * q).sum(axis=1) / (norms * np.sqrt((q * q).sum()))
 
 
-def _top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+def _top(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
+    """The nearest candidates of each query among those listed where it reads; no candidate comes twice."""
     out = []
     if len(queries) and len(candidates):
-        ids, rows = candidates["vec_id"].to_numpy(), np.stack(candidates["v"].to_numpy())
+        ids, rows = candidates["vec_id"].to_numpy(), _matrix(candidates["v"].combine_chunks())
+        asking, wanted = queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks())
         norms = np.sqrt((rows * rows).sum(axis=1))
-        for query, q in zip(queries["vec_id"], queries["v"], strict=True):
-            score = cosines(np.asarray(q), rows, norms)
-            order = np.lexsort((ids, -score))
-            order = order[ids[order] != query][:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[order], "score": score[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        held, read = candidates["lists"].combine_chunks(), queries["lists"].combine_chunks()
+        names, slots = np.unique(held.flatten().to_numpy(), return_inverse=True)
+        sizes = held.value_lengths().to_numpy()
+        own = np.full((len(rows), sizes.max()), len(names))  # the last slot is read by nobody
+        own[np.arange(own.shape[1]) < sizes[:, None]] = slots
+        with np.errstate(divide="ignore", invalid="ignore"):
+            directions = rows / norms[:, None]
+            pointing = wanted / np.sqrt((wanted * wanted).sum(axis=1))[:, None]
+        for at in range(0, len(asking), _BLOCK):
+            part = read.slice(at, _BLOCK)
+            asked = np.zeros((len(part), len(names) + 1), bool)
+            asked[np.repeat(np.arange(len(part)), part.value_lengths().to_numpy()), _slots(names, part.flatten().to_numpy())] = True
+            asked[:, -1] = False
+            open_ = asked[:, own[:, 0]]
+            for j in range(1, own.shape[1]):
+                open_ |= asked[:, own[:, j]]
+            open_ &= ids != asking[at : at + _BLOCK, None]
+            rough = np.nan_to_num(pointing[at : at + _BLOCK] @ directions.T, nan=-2.0)
+            for i, own_rough in enumerate(rough):
+                pick = np.flatnonzero(open_[i])
+                if len(pick) > k:  # those that rounding could have put below the k-th are ranked too
+                    least = np.partition(own_rough[pick], len(pick) - k)[len(pick) - k]
+                    pick = pick[own_rough[pick] >= least - 1e-9]
+                score = cosines(wanted[at + i], rows[pick], norms[pick])
+                order = np.lexsort((ids[pick], -score))[:k]
+                out.append((np.full(len(order), asking[at + i]), ids[pick][order], score[order]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+    types = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+
+
+def _slots(names: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Places of the lists in the sorted names; one past the end for others."""
+    at = np.minimum(np.searchsorted(names, lists), len(names) - 1)
+    return np.where(names[at] == lists, at, len(names))
