@@ -55,3 +55,36 @@ def test_stream_reports_each_batch_once_and_like_the_batch_plan(spark, sf_dir, t
         for column in ("rows", "duplicate_rows", "missing_percentage", "max_feature_drift_score", "roc_auc", "anomaly_detected"):
             assert rows[name][column] == expected[name][column], (name, column)
         assert abs(rows[name].prediction_drift_score - expected[name].prediction_drift_score) < 1e-12
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_batch_in_several_micro_batches_is_reported_whole(spark, sf_dir, tmp_path, apart):
+    """Part files split by max_files, or arriving one after the other, give one row for the batch."""
+    txn = transactions(spark, sf_dir)
+    columns = [c for c in txn.columns if c not in TAG_COLUMNS]
+    scorer = lambda df: df.withColumn("score", F.col("fraud_probability_simulated"))
+    features = numeric_features(txn)
+    save_profile(scorer(txn.where("data_source = 'baseline'")), "score", features, str(tmp_path / "profile"))
+    profile = load_profile(spark, str(tmp_path / "profile"), features)
+    name = "batch_04_quality_issue.csv"
+    rows = txn.where(F.col(BATCH_COLUMN) == name).select(*columns)
+    rows.repartition(3, "transaction_id").write.option("header", True).csv(str(tmp_path / "made"))
+    parts = sorted((tmp_path / "made").glob("part-*.csv"))
+    assert len(parts) == 3
+    folder = tmp_path / "arriving" / name
+    folder.mkdir(parents=True)
+
+    def run():
+        batches = read_text_batches(spark, str(tmp_path / "arriving" / "*"), columns, max_files=1)
+        paths = str(tmp_path / "report"), str(tmp_path / "state")
+        monitor_stream(batches, profile, scorer, *paths, "score").trigger(availableNow=True).start().awaitTermination()
+
+    for part in parts:
+        (folder / part.name).write_bytes(part.read_bytes())
+        if apart:
+            run()
+    run()
+    (got,) = spark.read.parquet(str(tmp_path / "report")).collect()
+    (expected,) = monitor(txn, "fraud_probability_simulated").where(F.col("batch_name") == name).collect()
+    for column, value in expected.asDict().items():
+        assert got[column] == (pytest.approx(value, abs=1e-12) if isinstance(value, float) else value), column

@@ -560,6 +560,7 @@ ORACLE = {
 ORACLE["feature_drift_ranges"] = ORACLE["feature_drift"]
 ORACLE["roc_auc_ranges"] = ORACLE["roc_auc"]
 ORACLE["profile_report"] = ORACLE["monitoring_report"]
+ORACLE["stream_report"] = ORACLE["monitoring_report"]
 ORACLE["split_rows"] = sql(
     "SELECT transaction_id, amount, label_fraud FROM transactions WHERE data_source = 'baseline'"
 )

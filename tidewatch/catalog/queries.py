@@ -25,6 +25,7 @@ from tidewatch.plans.training import EVALUATION_METRICS, EVALUATION_PARAMS, trai
 from tidewatch.schema import (
     BASELINE_SOURCE,
     BATCH_COLUMN,
+    REPORT_COLUMNS,
     SOURCE_COLUMN,
     TAG_COLUMNS,
     TARGET,
@@ -33,6 +34,7 @@ from tidewatch.schema import (
 from tidewatch.session import run_folder
 from tidewatch.sources import outputs
 from tidewatch.sources import transactions as sources
+from tidewatch.streaming.monitor_stream import monitor_stream, read_batches
 
 SCORE = "fraud_probability_simulated"
 EXPLAINED_BATCH = "batch_02_feature_drift.csv"
@@ -265,6 +267,21 @@ def q_profile_report(spark, sf_dir):
     return rounded(monitor(production(txn), SCORE, profile=load_profile(spark, path, features)))
 
 
+def q_stream_report(spark, sf_dir):
+    """The report of a stream in which every batch has two shares, split over micro-batches of four files."""
+    txn = transactions(spark, sf_dir)
+    path, features = run_folder(spark, "stream"), numeric_features(txn)
+    save_profile(baseline(txn), SCORE, features, f"{path}/profile")
+    arriving = production(txn).drop(SOURCE_COLUMN)
+    share = F.pmod(F.xxhash64("transaction_id"), F.lit(2))
+    arriving.repartition(F.col(BATCH_COLUMN), share).write.partitionBy(BATCH_COLUMN).parquet(f"{path}/batches")
+    batches = read_batches(spark, f"{path}/batches", arriving.schema, max_files=4)
+    profile = load_profile(spark, f"{path}/profile", features)
+    stream = monitor_stream(batches, profile, lambda df: df, f"{path}/report", f"{path}/state", SCORE)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/report").select(*REPORT_COLUMNS))
+
+
 def q_event_value_drift(spark, sf_dir):
     """Daily batches of events against the first week."""
     first_week = F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")
@@ -543,6 +560,7 @@ QUERIES = {
     "prediction_drift": q_prediction_drift,
     "monitoring_report": q_monitoring_report,
     "profile_report": q_profile_report,
+    "stream_report": q_stream_report,
     "event_value_drift": q_event_value_drift,
     "document_duplicates": q_document_duplicates,
     "label_performance": q_label_performance,

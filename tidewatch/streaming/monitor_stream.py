@@ -10,14 +10,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewatch.plans.monitor import BaselineProfile, monitor
-from tidewatch.schema import BATCH_COLUMN, PRODUCTION_SOURCE, TAG_COLUMNS, MonitorConfig, normalise_missing
+from tidewatch.schema import BATCH_COLUMN, PRODUCTION_SOURCE, TAG_COLUMNS, TARGET, MonitorConfig, normalise_missing
 from tidewatch.sources.transactions import TEXT_OPTIONS, clean_text, tag_source, text_schema
 
+# Partition columns: a batch by the hash of its name, so that any name gives a plain path; the micro-batch.
+KEY = "batch_key"
+EPOCH = "arrived_epoch"
+
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
     """Parquet batches below ``path``; each file (or partition directory) is a batch.
 
-    The file source hands over whole files, so a file's rows stay in one micro-batch.
+    The parts of a batch may come in several micro-batches, see :func:`monitor_stream`.
     """
     reader = spark.readStream.schema(schema)
     if max_files is not None:
@@ -47,17 +51,36 @@ def monitor_stream(
     score: str = "score",
     config: MonitorConfig = MonitorConfig(),
 ) -> DataStreamWriter:
-    """Report on each micro-batch of arrived files and add it to the report table.
+    """Report on every batch that has files among the arrived ones, over all its rows so far.
 
-    ``scorer`` adds the score column. The stored baseline profile keeps the cost of a
-    micro-batch in line with what arrived. Every micro-batch owns one directory that a
-    replay overwrites, so a restart neither loses nor repeats report rows.
+    ``scorer`` adds the score column. Scored rows are kept per batch below the checkpoint; a batch
+    whose files come in several micro-batches is reported anew with each, in its one directory of
+    the report table, so the table has one row per batch. Other batches aren't read again, nor is the
+    baseline, whose profile is stored. A replay overwrites what its micro-batch wrote.
     """
     columns = [c for c in batches.columns if c not in TAG_COLUMNS]
+    held = f"{checkpoint.rstrip('/')}/arrived"
 
     def report_on(arrived: DataFrame, epoch: int) -> None:
-        tagged = tag_source(scorer(arrived), PRODUCTION_SOURCE)
-        report = monitor(tagged, score, config=config, columns=columns, profile=profile)
-        report.write.mode("overwrite").parquet(f"{report_path}/epoch={epoch}")
+        spark = arrived.sparkSession
+        needed = dict.fromkeys([*columns, BATCH_COLUMN, score, *profile.features, TARGET])
+        rows = scorer(arrived).select(*needed)
+        name = F.sha2(F.coalesce(F.col(BATCH_COLUMN).cast("string"), F.lit("")).cast("binary"), 256)
+        keyed = rows.withColumns({KEY: name, EPOCH: F.lit(epoch).cast("long")})
+        _replace(keyed, [KEY, EPOCH], held)
+        keys = [r[0] for r in arrived.select(name).distinct().collect()]
+        if not keys:
+            return
+        schema = T.StructType(rows.schema.fields).add(EPOCH, "long")
+        parts = spark.read.schema(schema).option("basePath", held).parquet(*[f"{held}/{KEY}={k}" for k in keys])
+        so_far = tag_source(parts.where(F.col(EPOCH) <= epoch).select(*needed), PRODUCTION_SOURCE)
+        report = monitor(so_far, score, config=config, columns=columns, profile=profile)
+        named = report.withColumn(KEY, F.sha2(F.col("batch_name").cast("string").cast("binary"), 256))
+        _replace(named, [KEY], report_path)
 
     return batches.writeStream.foreachBatch(report_on).option("checkpointLocation", checkpoint)
+
+
+def _replace(df: DataFrame, keys: list[str], path: str) -> None:
+    """Write the partitions that ``df`` has rows of; others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
