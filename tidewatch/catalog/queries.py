@@ -395,6 +395,11 @@ def q_incidents(spark, sf_dir):
     return incidents(report(spark, sf_dir), one_comparison(spark, sf_dir))
 
 
+def q_batch_incidents(spark, sf_dir):
+    """Every incident with the changes of its own batch."""
+    return incidents(report(spark, sf_dir), comparison(spark, sf_dir))
+
+
 def q_incident_prompt(spark, sf_dir):
     return incident_prompts(report(spark, sf_dir), one_comparison(spark, sf_dir))
 
@@ -580,6 +585,7 @@ QUERIES = {
     "top_changes": q_top_changes,
     "top_changes_text": q_top_changes_text,
     "incidents": q_incidents,
+    "batch_incidents": q_batch_incidents,
     "incident_prompt": q_incident_prompt,
     "incident_lookup": q_incident_lookup,
     "sample_n": q_sample_n,
