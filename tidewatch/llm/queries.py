@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.centroids import cluster, described
 from tidewatch.llm.common import held_out, table
 from tidewatch.llm.containment import contaminated
 from tidewatch.llm.html_text import extract_text
+from tidewatch.llm.infill import digests, infill, stored
 from tidewatch.llm.language_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
+from tidewatch.llm.mixing import sample
 from tidewatch.llm.packing import pack
 from tidewatch.llm.quality import classify
 from tidewatch.llm.records import read_digests, write_records
@@ -77,6 +80,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fill-in-middle samples, digested from their frames, with the texts rebuilt from them."""
+    return digests(infill(stored(table(spark, sf_dir, "documents")), seed=1))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds, with the sums of squared distances."""
+    return described(*cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix of sources takes each document."""
+    return sample(table(spark, sf_dir, "documents"), seed=13).drop("source", "row")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_neighbours": op2_neighbours,
@@ -88,4 +106,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
+    "op11_infill": op11_infill,
+    "op12_clusters": op12_clusters,
+    "op13_mixing": op13_mixing,
 }
