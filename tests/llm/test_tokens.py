@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,7 +15,7 @@ from tidewatch.llm.packing import best_fit_decreasing, pack
 from tidewatch.llm.queries import QUERIES
 from tidewatch.llm.records import frame as framed
 from tidewatch.llm.records import read_digests, read_records, unframe, write_records
-from tidewatch.llm.tokens import Encoder
+from tidewatch.llm.tokens import Encoder, text_slices
 from tidewatch.session import run_folder
 
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -22,7 +23,6 @@ WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_b
 
 def plain(path, texts, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     found = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     return [np.array([*e.ids, end], "<u4") for e in found]
 
@@ -30,7 +30,7 @@ def plain(path, texts, end):
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_encoder_equals_the_library(path):
     random.seed(1)
-    signs = [*"abAB é'\n\n  .,!?$-_019²ßΣσİ̇\t\x1c\x85 中文", "<|endoftext|>", "  ", "\r\n", " x", "'s", " hello", " World.", "..."]
+    signs = [*"abAB é'\n\n  .,!?$-_019²ßΣσİ̇\t\x1c\x85 中文", "<|endoftext|>", "  ", "\r\n", " x", "'s", " hello", " World.", "...", "<|startoftext|>", "<|endof", "'re", "Don't", "12", " ÀÉ", "÷×", "ɏ", "&&&", "\u200b", "\x00"]
     texts = ["".join(random.choices(signs, k=random.randint(0, 30))) for _ in range(3000)] + ["", "x" * 5000]
     encoder = Encoder(path)
     for at in range(0, len(texts), 400):
@@ -39,6 +39,27 @@ def test_encoder_equals_the_library(path):
             assert np.frombuffer(got, "<u4").tolist() == ids[:-1].tolist()
 
 
+@pytest.mark.parametrize("path, ids", [(WORDS, [320, 49407, 321]), (BYTES, [64, 220, 50256, 275])])
+def test_added_tokens_are_told_as_the_library_does(path, ids):
+    assert np.frombuffer(Encoder(path).encode(["a <|endoftext|> b"])[0], "<u4").tolist() == ids
+
+
+def test_forgotten_words_are_encoded_alike(monkeypatch):
+    monkeypatch.setattr("tidewatch.llm.tokens.REMEMBERED", 8)
+    random.seed(2)
+    texts = [" ".join(random.choices(["aa", "bb,", "cc", "Dd", "é&&&", "ff\ngg", "hh", "ii...", "jj", "kk"], k=12)) for _ in range(200)]
+    encoder = Encoder(BYTES)
+    for text, ids in zip(texts, plain(BYTES, texts, 0), strict=True):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids[:-1].tolist()
+
+
+def test_slices_follow_the_texts(monkeypatch):
+    monkeypatch.setattr("tidewatch.llm.tokens.BATCH_BYTES", 10)
+    texts = ["", "a" * 9, "b", "c" * 30, None, "é" * 5, "d"]
+    found = [b.column("text").to_pylist() for b in text_slices(iter([pa.record_batch({"text": texts}), pa.record_batch({"text": pa.array([], pa.string())})]))]
+    assert found == [["", "a" * 9, "b"], ["c" * 30], [None, "é" * 5], ["d"]]
+
+
 def test_records_query(spark, sf_dir):
     docs = documents(sf_dir).sort_values("doc_id")
     got = QUERIES["op5_token_records"](spark, sf_dir).toPandas().set_index("doc_id")

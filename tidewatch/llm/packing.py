@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices, texts, written
-from tidewatch.llm.tokens import encoder
+from tidewatch.llm.common import texts, written
+from tidewatch.llm.tokens import encoder, text_slices
 
 CAPACITY = 2048
 # Pieces per hash bucket, on average: bounds what one task ranks.
@@ -98,7 +98,7 @@ def cut_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, 512):
+        for batch in text_slices(batches):
             found = []
             for doc_id, ids in zip(
                 batch.column("doc_id").to_pylist(), encode.encode(batch.column("text").to_pylist()), strict=True

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import slices, texts
-from tidewatch.llm.tokens import encoder
+from tidewatch.llm.tokens import encoder, text_slices
 
 MAGIC = b"TWREC1"
 MASK = 0xA282EAD8  # added to the rotated checksum
@@ -60,6 +60,12 @@ def unframe(source, position: int) -> bytes:
     return data[:-4]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark's own file system reads it: executors may have another default."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
@@ -81,6 +87,7 @@ def write_records(
     index. Other columns of ``docs`` are ignored. ``folder`` must be new and reachable from everywhere.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     tie = F.xxhash64("text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +97,7 @@ def write_records(
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.rec"
         out, position, row, start = None, 0, 0, 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, 512):
+        for batch in text_slices(batches):
             if out is None:
                 store.create_dir(f"{root}/data")
                 out = store.open_output_stream(f"{root}/data/{name}")
@@ -135,6 +142,8 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 def _payloads(index: DataFrame, folder: str, make, schema: str) -> DataFrame:
     """``make(index rows, ids of each)`` on the records of the index rows, read and verified by the tasks."""
 
+    folder = qualified(index.sparkSession, folder)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
         name, source, width = None, None, "<u4"

@@ -2,7 +2,8 @@
 
 Byte-level BPE never merges across the boundary before a single space that stands between two
 other characters, so a text can be cut there and each piece looked up; a tokenizer that drops white
-space can be fed word by word. Any other tokenizer gets the whole text.
+space can be fed word by word. Any other tokenizer gets the whole text, and so does every text that
+holds the string of an added token, which the library tells from ordinary text.
 """
 
 from __future__ import annotations
@@ -11,12 +12,17 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Words remembered by a worker; beyond it those not met again lately are forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+# Bytes of text encoded together: the more, the fewer words are looked up again.
+BATCH_BYTES = 8_000_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
@@ -52,8 +58,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut = _way_to_cut(json.loads(self.tokenizer.to_str()))
+        described = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in described.get("added_tokens", [])]
+        self.cut = _way_to_cut(described)
         # Whether an id ends a unit (words) or starts with a space (the other way of cutting).
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -61,13 +68,14 @@ class Encoder:
         self.first, self.later = Memory(), Memory()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut is None:
-            return self._one_by_one(texts)
-        pieces = [self.cut(t) for t in texts]
-        first = self._learn(self.first, {p[0] for p in pieces}, self._one_by_one)
+        whole = [i for i, t in enumerate(texts) if self.cut is None or any(a in t for a in self.added)]
+        known = dict(zip(whole, self._one_by_one([texts[i] for i in whole]), strict=True))
+        pieces = [(i, self.cut(t)) for i, t in enumerate(texts) if i not in known]
+        first = self._learn(self.first, {p[0] for _, p in pieces}, self._one_by_one)
         together = self._words if self.cut is _words else self._after_spaces
-        later = self._learn(self.later, set().union(*(p[1:] for p in pieces)), together).__getitem__
-        return [first[p[0]] + b"".join(map(later, p[1:])) for p in pieces]
+        later = self._learn(self.later, set().union(*(p[1:] for _, p in pieces)), together).__getitem__
+        known.update((i, first[p[0]] + b"".join(map(later, p[1:]))) for i, p in pieces)
+        return [known[i] for i in range(len(texts))]
 
     def _learn(self, memory: Memory, words: set[str], encode) -> dict[str, bytes]:
         new = memory.missing(words)
@@ -140,6 +148,8 @@ def _words(text: str) -> list[str]:
 def _way_to_cut(described: dict):
     """How a tokenizer's texts may be cut, from its own description; None for not at all."""
     before, first = described.get("pre_tokenizer") or {}, described.get("normalizer")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in described.get("added_tokens", [])):
+        return None
     if described.get("post_processor") and described["post_processor"]["type"] != "ByteLevel":
         return None
     if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not first:
@@ -152,6 +162,18 @@ def _way_to_cut(described: dict):
     return None
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of rows whose texts have about ``BATCH_BYTES`` together, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder for each tokenizer file and worker."""
