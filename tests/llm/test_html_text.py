@@ -34,6 +34,22 @@ CASES = {
         f'<section class="related"><p>{W} {W} {W}</p></section></body>',
         f"A\n{W}\nB\n{W} {W}",
     ),
+    "wrapper named after what it has": (f"<div id=page class='has-sidebar'><article><h1>T</h1><p>{W}</p></article><div class=sidebar>{W}</div></div>", f"T\n{W}"),
+    "a form around the page": (f"<body><form><nav><a href=/>Home</a></nav><article><p>{W}</p><button>Send</button></article></form>", W),
+    "a form around a page of divs": (f"<body><form><div id=nav><a href=/>Home</a></div><div><p>{W}</p><p>{W}</p></div></form>", f"{W}\n{W}"),
+    "layout with a menu's name": (f"<div class='layout-nav-left'><main><p>{W}</p></main></div>", W),
+    "no adverts": (f"<div class='no-ads'><p>{W}</p><p>{W}</p></div>", f"{W}\n{W}"),
+    "names that begin like an advert's": (f"<article><p class='share-price'>{W}</p><p id='ad-hoc-committees'>{W}</p></article>", f"{W}\n{W}"),
+    "widget around an article": (f"<div class='widget-text'><article><p>{W}</p></article></div><div class=widget>{W}</div>", W),
+    "share links inside": (f"<article><p>{W}</p><div class='share-links'><a href=#>This</a> <a href=#>That</a></div><div class='ad-hoc'><p>{W}</p></div></article>", f"{W}\n{W}"),
+    "comments as articles": (f"<body><article><p>{W}</p></article><div class='comments-area'><article><p>{W} {W} {W}</p></article></div></body>", W),
+    "comments of comment articles": (f"<body><div class=post><article><p>{W}</p></article><ol class=comment-list><li><article class=comment><p>{W} {W}</p></article></ol></div>", W),
+    "long comments": (f"<body><div class=content><p>{W}</p><p>{W}</p></div><div class=comments><p>{W} {W} {W}</p></div></body>", f"{W}\n{W}"),
+    "hidden until loaded": (f"<body style='display:none'><article><p>{W}</p><p hidden>no</p></article></body>", W),
+    "no end of the head": (f"<html><head><title>x</title><meta charset=utf-8><body><p>{W}</p><p>{W}</p>", f"{W}\n{W}"),
+    "site footer": (f"<body><div><p>{W}</p><p>{W}</p></div><div class=site-footer><p>{W}</p></div></body>", f"{W}\n{W}"),
+    "end tags that nothing opened": (f"<article></div></i></p><p>{W}</b></section></p></article>", W),
+    "table cells": (f"<article><table><tr><td><p>one<td>two</p> more<tr><td>{W}</table></article>", f"one\ntwo more\n{W}"),
     "menus only": ("<nav><a href=x>a</a></nav>", ""),
     "empty": ("", ""),
 }
@@ -62,8 +78,18 @@ def test_odd_rows(spark):
     assert len(got) == 5 and got.text.notna().all() and extract_text(pages.limit(0)).count() == 0
 
 
+UNCLOSED = ("<b>" * 330_000, "<div>" * 50_000 + "</i>" * 50_000, "<p><td>" + "<b>" * 50_000 + "</p>" * 50_000, "<noscript>" * 20_000, "<li><ul>" * 20_000 + "<li>" * 20_000)
+
+
+@pytest.mark.parametrize("page", UNCLOSED)
+def test_unclosed_tags_take_linear_time(page):
+    began = time.process_time()
+    assert main_text(page + W).count(W) <= 1
+    assert time.process_time() - began < 5
+
+
 def test_hostile_pages_take_no_long_time():
     began = time.process_time()
-    for page in ("<div>" * 5000 + "x", "<p>" * 20000, "<script>" * 3000, '<a "' * 5000, "</" * 20000):
+    for page in (*UNCLOSED, "<div>" * 5000 + "x", "<p>" * 20000, "<script>" * 3000, '<a "' * 5000, "</" * 20000):
         main_text(page)
     assert time.process_time() - began < 20

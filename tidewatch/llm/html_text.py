@@ -4,9 +4,12 @@ For every node of a page's tree: characters per tag, weighed by how the characte
 to those inside, against the same ratio of the whole body. A node's density sum is that of its
 children; the node with the largest sum holds the content. The least density on the way from it to the
 body is the threshold: other parts of the tree at or above it give their own largest-sum node too.
-Menus, forms, adverts and other parts that name themselves by tag, role or class are left out beforehand.
 Tags that only format words count as part of the block around them, and content inside an ``article`` or
 ``main`` element is widened to the whole of it, headings included.
+
+Menus, forms, adverts and other parts that name themselves by tag, role or class are left out beforehand,
+unless they hold the page's principal ``article`` or ``main`` or, on a page without one, most of its text outside
+links: a wrapper often bears the name of something that it only contains.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +30,15 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>",
     re.DOTALL,
 )
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
-# Elements that are never part of an article.
-LEFT_OUT = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video".split()) | RAW
+# Elements whose content is no text of the page.
+NO_TEXT = frozenset("select button svg canvas object audio video".split()) | RAW
+# Elements that are no part of an article, and those of them that may well be wrapped around one.
+LEFT_OUT = frozenset("head nav footer aside dialog menu header form".split())
+WRAPPERS = frozenset("head header form".split())
 # Names in a class, id or role that say the same.
 LEFT_OUT_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo "
@@ -63,20 +70,41 @@ _P_ENDS = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 _P_WALLS = frozenset("td th table caption button object article section div body html li blockquote".split())
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in LEFT_OUT or tag == "header" and not inside_article:
-        return True
+# How sure it is that an element is left out.
+KEPT, UNSURE, SURE = 0, 1, 2
+# Of the text outside links, the share that saves an element on a page without article or main.
+MOST, NEARLY_ALL = 0.5, 0.9
+_BOXES = frozenset("div section ul ol dl table td center details".split())
+
+
+def _named(name: str, tag: str, inside_article: bool) -> int:
+    """What one name says. A part of a compound name tells what the element is for only where it stands last;
+    where it stands first it does for boxes outside articles, whose text is mostly links inside them."""
+    if name in LEFT_OUT_NAMES:
+        return SURE
+    first, *others = re.split(r"[-_]+", name)
+    if others and others[-1] in LEFT_OUT_NAMES:
+        return UNSURE
+    return UNSURE if tag in _BOXES and first in LEFT_OUT_NAMES and not inside_article else KEPT
+
+
+def _doubt(tag: str, attributes: str, inside_article: bool) -> int:
+    if tag in LEFT_OUT and not (tag == "header" and inside_article):
+        return UNSURE if tag in WRAPPERS else SURE
     if not attributes:
-        return False
+        return KEPT
     if _HIDDEN.search(attributes):
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    for found in _NAMES.findall(attributes):
-        for name in "".join(found).lower().split():
-            if name in LEFT_OUT_NAMES or not LEFT_OUT_NAMES.isdisjoint(re.split(r"[-_]+", name)):
-                return True
-    return False
+        return SURE
+    if tag in ("body", "html"):
+        return KEPT
+    names = [n for found in _NAMES.findall(attributes) for n in "".join(found).lower().split()]
+    return max((_named(n, tag, inside_article) for n in names), default=KEPT)
+
+
+def _links_only(tag: str, attributes: str) -> bool:
+    """A box inside an article that is left out if it is mostly links: its name starts like a menu's or an advert's."""
+    names = (n for found in _NAMES.findall(attributes) for n in "".join(found).lower().split())
+    return tag in _BOXES and any(re.split(r"[-_]+", n)[0] in LEFT_OUT_NAMES for n in names)
 
 
 class Tree:
@@ -87,10 +115,13 @@ class Tree:
         self.texts: list[tuple[int, str]] = []  # (node, text); an empty text is the edge of a block
         self.ends = [0]  # for each node, the texts before its end
         self.starts = [0]
+        self.doubts, self.links_only = [KEPT], [False]
+        self.places: dict[str, list[int]] = {}  # where open elements of a tag stand among the open ones
         self._read(page)
+        self._drop()
 
     def _read(self, page: str) -> None:
-        opened, at, size = [0], 0, len(page)
+        opened, at, size, endless = [0], 0, len(page), set()
         while at < size:
             found = _TOKEN.search(page, at)
             if found is None:
@@ -108,11 +139,13 @@ class Tree:
                 continue
             self._imply(opened, tag)
             node = self._start(opened, tag, attributes)
-            if tag in RAW:  # what follows is no markup up to the end tag
+            if tag in RAW and tag not in endless:  # what follows is no markup up to the end tag
                 end = re.compile(f"</{tag}[^a-zA-Z0-9]", re.IGNORECASE).search(page, at)
+                if end is None:
+                    endless.add(tag)
                 at = end.start() if end else (size if tag != "noscript" else at)
             if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
-                self._close(opened, node)
+                self._close(opened, len(opened) - 1)
         for node in reversed(opened):
             self.ends[node] = len(self.texts)
 
@@ -122,59 +155,99 @@ class Tree:
 
     def _start(self, opened: list[int], tag: str, attributes: str) -> int:
         above, node = opened[-1], len(self.tags)
-        inside = tag == "header" and any(self.tags[x] in ("article", "main") for x in opened)
+        inside = bool(self.places.get("article") or self.places.get("main"))
         self.tags.append(tag)
         self.parents.append(above)
-        self.dropped.append(self.dropped[above] or _left_out(tag, attributes, inside))
+        self.dropped.append(self.dropped[above] or tag in NO_TEXT)
+        self.doubts.append(_doubt(tag, attributes, inside))
+        self.links_only.append(inside and bool(attributes) and _links_only(tag, attributes))
         self.starts.append(len(self.texts))
         self.ends.append(len(self.texts))
         if tag in BLOCKS:
             self.texts.append((node, ""))
         elif tag == "br" and not self.dropped[node]:
             self.texts.append((node, " "))
+        self.places.setdefault(tag, []).append(len(opened))
         opened.append(node)
         return node
 
-    def _close(self, opened: list[int], node: int) -> None:
-        while opened[-1] >= node:
+    def _close(self, opened: list[int], place: int) -> None:
+        """Ends the open elements from that place on."""
+        while len(opened) > place:
             last = opened.pop()
+            self.places[self.tags[last]].pop()
             if self.tags[last] in BLOCKS:
                 self.texts.append((last, ""))
             self.ends[last] = len(self.texts)
 
+    def _wall(self, walls: frozenset[str] | set[str]) -> int:
+        """The innermost place of any of these tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in walls if self.places.get(t)), default=0)
+
     def _end(self, opened: list[int], tag: str) -> None:
-        for node in reversed(opened[1:]):
-            if self.tags[node] == tag:
-                self._close(opened, node)
-                return
-            if tag == "p" and self.tags[node] in _P_WALLS:
-                return
+        places = self.places.get(tag)
+        if places and not (tag == "p" and self._wall(_P_WALLS) > places[-1]):
+            self._close(opened, places[-1])
 
     def _imply(self, opened: list[int], tag: str) -> None:
+        if tag in BLOCKS and tag != "html" and self.places.get("head"):
+            self._close(opened, self.places["head"][0])
         ends, walls = _ENDS.get(tag, (frozenset(), frozenset()))
         if tag in _P_ENDS or tag == "li":
             ends, walls = {*ends, "p"}, walls | _P_WALLS if tag != "li" else walls
-        last = None
-        for node in reversed(opened[1:]):
-            if self.tags[node] in ends:
-                last = node
-            elif self.tags[node] in walls:
-                break
-        if last is not None:
-            self._close(opened, last)
+        if not any(self.places.get(t) for t in ends):
+            return
+        wall = self._wall(walls)
+        inner = [own[at] for t in ends if (own := self.places.get(t)) and (at := bisect_right(own, wall)) < len(own)]
+        if inner:
+            self._close(opened, min(inner))
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Each node's composite density and density sum."""
+    def _drop(self) -> None:
+        """Leaves out what names itself so, but not what the page is about."""
         n = len(self.tags)
-        chars, tags, links, link_tags = ([0] * n for _ in range(4))
-        linked = [False] * n
+        plain, linked = self._sizes()
+        below = plain[:]
+        links = linked[:]
+        for i in range(n - 1, 0, -1):
+            below[self.parents[i]] += below[i]
+            links[self.parents[i]] += links[i]
+        doubt = self.doubts[:]  # the greatest on the way from the page
+        for i in range(1, n):
+            doubt[i] = max(doubt[i], doubt[self.parents[i]])
+        subjects = [i for i in range(n) if self.tags[i] in ("article", "main") and self.doubts[i] == KEPT and below[i]]
+        subjects = [i for i in subjects if doubt[i] < SURE] or subjects
+        largest = max((below[i] for i in subjects), default=0)
+        subjects = [i for i in subjects if doubt[i] == KEPT and 4 * below[i] >= largest] or subjects
+        mains = [i for i in subjects if self.tags[i] == "main" and 2 * below[i] >= max(below[j] for j in subjects)]
+        saved = [False] * n
+        if subjects:
+            node = max(mains or subjects, key=lambda i: (below[i], -i))
+            while node >= 0:
+                saved[node], node = True, self.parents[node]
+        for i in range(1, n):
+            if not saved[i] and not subjects and self.doubts[i]:
+                saved[i] = below[i] > (NEARLY_ALL if self.doubts[i] == SURE else MOST) * below[0]
+            named = self.doubts[i] or self.links_only[i] and links[i] >= below[i]
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parents[i]] or bool(named and not saved[i])
+        self.texts = [(i, "" if self.dropped[i] and t != "" else t) for i, t in self.texts]
+
+    def _sizes(self) -> tuple[list[int], list[int]]:
+        """Characters that stand directly in each node, outside and inside links."""
+        n = len(self.tags)
+        plain, linked, link = [0] * n, [0] * n, [False] * n
         for i in range(1, n):
-            linked[i] = self.tags[i] == "a" or linked[self.parents[i]]
+            link[i] = self.tags[i] == "a" or link[self.parents[i]]
         for node, text in self.texts:
-            size = len(" ".join(text.split()))
-            chars[node] += size
-            if linked[node]:
-                links[node] += size
+            if text:
+                (linked if link[node] else plain)[node] += len(" ".join(text.split()))
+        return plain, linked
+
+    def densities(self) -> tuple[list[float], list[float]]:
+        """Each node's composite density and density sum."""
+        n = len(self.tags)
+        tags, link_tags = [0] * n, [0] * n
+        plain, links = self._sizes()
+        chars = [a + b for a, b in zip(plain, links, strict=True)]
         for i in range(n - 1, 0, -1):
             above = self.parents[i]
             if not self.dropped[i]:
