@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 REMEMBERED = 500_000
 # Bytes of text encoded together: the more, the fewer words are looked up again.
 BATCH_BYTES = 8_000_000
+GATHERED = 128  # texts whose ids are put together at once
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
@@ -70,13 +71,47 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if self.cut is None or any(a in t for a in self.added)]
         known = dict(zip(whole, self._one_by_one([texts[i] for i in whole]), strict=True))
-        pieces = [(i, self.cut(t)) for i, t in enumerate(texts) if i not in known]
-        first = self._learn(self.first, {p[0] for _, p in pieces}, self._one_by_one)
-        together = self._words if self.cut is _words else self._after_spaces
-        later = self._learn(self.later, set().union(*(p[1:] for _, p in pieces)), together).__getitem__
-        known.update((i, first[p[0]] + b"".join(map(later, p[1:]))) for i, p in pieces)
+        rest = [i for i in range(len(texts)) if i not in known]
+        if rest:
+            known.update(zip(rest, self._by_pieces([texts[i] for i in rest]), strict=True))
         return [known[i] for i in range(len(texts))]
 
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Texts cut into words, each different word looked up once, and the ids gathered in the words' order."""
+        odd = [] if self.cut is _words else [i for i, t in enumerate(texts) if _odd(t)]
+        plain = sorted(set(range(len(texts))) - set(odd))
+        ready = _spaced if self.cut is _words else str
+        cut = pc.split_pattern(pa.array([ready(texts[i]) for i in plain], pa.string()), " ")
+        if odd:
+            cut = pa.concat_arrays([cut, pa.array([self.cut(texts[i]) for i in odd], pa.list_(pa.string()))])
+        words = cut.flatten().dictionary_encode()
+        codes, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        heads = offsets[:-1]
+        later = np.ones(len(codes), bool)
+        later[heads] = False
+        asked = np.zeros(len(names), bool)
+        asked[codes[later]] = True
+        firsts, codes[heads] = np.unique(codes[heads], return_inverse=True)
+        codes[heads] += len(names)
+        known = self._learn(self.later, {names[i] for i in np.flatnonzero(asked)}, self._words if self.cut is _words else self._after_spaces)
+        table = [known[w] if a else b"" for w, a in zip(names, asked.tolist(), strict=True)]
+        first = [names[i] for i in firsts]
+        known = self._learn(self.first, set(first), self._one_by_one)
+        table += [known[w] for w in first]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        ids, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        out = []
+        for at in range(0, len(texts), GATHERED):
+            bounds = offsets[at : at + GATHERED + 1]
+            own = codes[bounds[0] : bounds[-1]]
+            size = sizes[own]
+            ends = np.cumsum(size)
+            found = ids[np.repeat(starts[own] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            stops = (4 * np.append(0, ends)[bounds - bounds[0]]).tolist()
+            out += [found[a:b] for a, b in zip(stops, stops[1:])]
+        return [ids for _, ids in sorted(zip(plain + odd, out, strict=True))]
+
     def _learn(self, memory: Memory, words: set[str], encode) -> dict[str, bytes]:
         new = memory.missing(words)
         known = memory.new
@@ -130,19 +165,28 @@ def _cut_at(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
+def _odd(text: str) -> bool:
+    """Whether some space does not stand between two other characters, or there is white space of other kinds."""
+    edge = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
+    return edge or bool(_OTHER_SPACE.search(text))
+
+
 def _before_spaces(text: str) -> list[str]:
     """The first piece, then those that follow a space, without it."""
-    odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
-    if not odd and not _OTHER_SPACE.search(text):
+    if not _odd(text):
         return text.split(" ")
     head, *rest = _CUT.split(text)
     return [head, *(p[1:] for p in rest)]
 
 
-def _words(text: str) -> list[str]:
+def _spaced(text: str) -> str:
     if text.isascii() or not _BEYOND_LATIN.search(text):  # there, lower case is the same everywhere
         text = text.lower()
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", " ")
+
+
+def _words(text: str) -> list[str]:
+    return _spaced(text).split(" ")
 
 
 def _way_to_cut(described: dict):
