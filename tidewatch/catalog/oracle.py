@@ -557,6 +557,48 @@ ORACLE = {
         )
     ),
 }
+_CUT = "(SELECT {f}({c}) FROM transactions)"
+_BIN = " + ".join(
+    f"(({_CUT.format(f='min', c='{c}')} + ({_CUT.format(f='max', c='{c}')} - {_CUT.format(f='min', c='{c}')}) * {k} / 8::DOUBLE) < {{c}})::INT"
+    for k in range(1, 8)
+)
+SPLITS = [
+    """weighted AS (SELECT *, CASE WHEN label_fraud = 1 THEN (SELECT count(*) FILTER (label_fraud = 0)
+         / count(*) FILTER (label_fraud = 1)::DOUBLE FROM transactions) ELSE 1 END AS w FROM transactions)""",
+    """sloped AS (SELECT *, round(w * (0.5::DOUBLE - label_fraud) * 1048576)::BIGINT AS g,
+         round(w * 0.5::DOUBLE * 0.5::DOUBLE * 1048576)::BIGINT AS h FROM weighted)""",
+    "entries AS ("
+    + " UNION ALL ".join(
+        [
+            f"SELECT {i} AS place, '{c}' AS feature, CASE WHEN {c} IS NULL THEN -1 ELSE {_BIN.format(c=c)} END AS bin, NULL::VARCHAR AS category, g, h FROM sloped"
+            for i, c in enumerate(NUMERIC_FEATURES)
+        ]
+        + [
+            f"SELECT {i + len(NUMERIC_FEATURES)}, '{c}', 0, {c}, g, h FROM sloped" for i, c in enumerate(CATEGORICAL_FEATURES)
+        ]
+    )
+    + ")",
+    """bars AS (SELECT place, feature, bin::INT AS bin, category, count(*) AS n, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h
+         FROM entries GROUP BY place, feature, bin, category)""",
+]
+ORACLE["split_histogram"] = sql("SELECT feature, bin, category, n, g, h FROM bars", *SPLITS)
+_PART = "({0} / 1048576::DOUBLE) * ({0} / 1048576::DOUBLE) / ({1} / 1048576::DOUBLE + 1)"
+ORACLE["root_split"] = sql(
+    f"""SELECT feature, bin, category, missing_left, round({_PART.format('left_g', 'left_h')}
+          + {_PART.format('(g - left_g)', '(h - left_h)')} - {_PART.format('g', 'h')}, 4) AS gain, left_g, left_h, g, h
+        FROM tried WHERE left_h >= 1048576 AND h - left_h >= 1048576
+        ORDER BY gain DESC, place, bin, category NULLS FIRST, missing_left = (left_h >= h - left_h) DESC LIMIT 1""",
+    *SPLITS,
+    "whole AS (SELECT sum(g)::BIGINT AS g, sum(h)::BIGINT AS h FROM sloped)",
+    """tried AS (SELECT b.place, b.feature, b.bin, b.category, missing_left,
+         (SELECT coalesce(sum(o.g), 0) FROM bars o WHERE o.place = b.place AND (b.category IS NULL AND (o.bin BETWEEN 0 AND b.bin
+           OR o.bin = -1 AND missing_left) OR b.category IS NOT NULL AND o.category IS DISTINCT FROM b.category))::BIGINT AS left_g,
+         (SELECT coalesce(sum(o.h), 0) FROM bars o WHERE o.place = b.place AND (b.category IS NULL AND (o.bin BETWEEN 0 AND b.bin
+           OR o.bin = -1 AND missing_left) OR b.category IS NOT NULL AND o.category IS DISTINCT FROM b.category))::BIGINT AS left_h,
+         whole.g, whole.h
+       FROM bars b, whole, (VALUES (true), (false)) AS d(missing_left)
+       WHERE b.bin >= 0 AND (b.category IS NULL OR NOT missing_left))""",
+)
 ORACLE["feature_drift_ranges"] = ORACLE["feature_drift"]
 ORACLE["roc_auc_ranges"] = ORACLE["roc_auc"]
 ORACLE["profile_report"] = ORACLE["monitoring_report"]

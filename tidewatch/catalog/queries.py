@@ -14,6 +14,7 @@ from tidewatch.functions.text import clean_batch_name
 from tidewatch.operators import attribution as att
 from tidewatch.operators import performance as perf
 from tidewatch.operators import quality, reporting, validation
+from tidewatch.operators.boosting import BoostConfig, best_splits, first_level, model_nodes, score_boosted, train_boosted, width_cuts
 from tidewatch.operators.drift import feature_drift, feature_drift_flag, numeric_features, prediction_drift
 from tidewatch.operators.model import TrainConfig, encoder_stages, feature_frame, score
 from tidewatch.operators.sampling import sample_per_key, train_test_split
@@ -528,6 +529,61 @@ def q_split_rows(spark, sf_dir):
     )
 
 
+SPLIT_BINS = 8
+
+
+def _first_level(spark, sf_dir):
+    txn = transactions(spark, sf_dir)
+    categorical, numeric = column_roles(txn)
+    cuts = width_cuts(txn, numeric, SPLIT_BINS)
+    names = F.array(*[F.lit(c) for c in [*numeric, *categorical]])
+    return first_level(txn, numeric, categorical, TARGET, cuts), names, len(numeric)
+
+
+def q_split_histogram(spark, sf_dir):
+    """Gradient and hessian sums behind the first split on all rows, missing cells in a bin of their own."""
+    histogram, names, _ = _first_level(spark, sf_dir)
+    return histogram.select(F.get(names, "feature").alias("feature"), "bin", "category", "n", "g", "h")
+
+
+def q_root_split(spark, sf_dir):
+    """The first split on all rows and where its missing cells go."""
+    histogram, names, numbers = _first_level(spark, sf_dir)
+    return best_splits(histogram, numbers, BoostConfig()).select(
+        F.get(names, F.col("best.feature")).alias("feature"),
+        "best.bin",
+        "best.category",
+        "best.missing_left",
+        F.round("best.gain", 4).alias("gain"),
+        "best.left_g",
+        "best.left_h",
+        "g",
+        "h",
+    )
+
+
+BOOSTED = BoostConfig(trees=10, learning_rate=0.3)
+
+
+@lru_cache(maxsize=4)
+def boosted(application: str, sf_dir: str):
+    """Trees on all rows, missing cells included, fitted once per application."""
+    spark = SparkSession.getActiveSession()
+    return train_boosted(transactions(spark, sf_dir), BOOSTED)
+
+
+def q_boosted_nodes(spark, sf_dir):
+    """Every node of the trees, with the direction of missing cells."""
+    return model_nodes(spark, boosted(spark.sparkContext.applicationId, sf_dir))
+
+
+def q_boosted_report(spark, sf_dir):
+    """The monitoring report on the scores of these trees."""
+    txn = transactions(spark, sf_dir)
+    scored = score_boosted(boosted(spark.sparkContext.applicationId, sf_dir), txn)
+    return monitor(scored, "score", columns=quality.original_columns(txn))
+
+
 def on_transactions(operator):
     return lambda spark, sf_dir: operator(transactions(spark, sf_dir))
 
@@ -599,6 +655,10 @@ QUERIES = {
     "gbt_scores": q_gbt_scores,
     "gbt_report": q_gbt_report,
     "gbt_report_facts": q_gbt_report_facts,
+    "split_histogram": q_split_histogram,
+    "root_split": q_root_split,
+    "boosted_nodes": q_boosted_nodes,
+    "boosted_report": q_boosted_report,
     "tree_shap": q_tree_shap,
     "shap_additivity": q_shap_additivity,
     "explain_batches": q_explain_batches,
