@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators.drift import feature_drift, feature_drift_flag, prediction_drift
+from tidewatch.operators import ordered
+from tidewatch.operators.drift import feature_drift, feature_drift_flag, histogram_drift, prediction_drift, value_histogram
 from tidewatch.operators.performance import classification_metrics, roc_auc, score_performance
 from tidewatch.schema import MonitorConfig
 
@@ -140,3 +141,52 @@ def test_ranges_read_the_table_once_and_never_sort_a_series_in_one_task(spark, s
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("FileScan parquet") == 1
     assert "ReusedExchange" in final and "CartesianProduct" not in final
+
+
+def test_the_tree_follows_the_rows():
+    assert ordered.shape(0) == ordered.shape(10, 10) == () and ordered.shape(11, 10) == (2,)
+    assert ordered.shape(95, 10, 10) == (10,) and ordered.shape(105, 10, 10) == (4, 4)
+    for rows in (10**3, 10**5, 10**7):
+        widths = ordered.shape(rows, 10, 20)
+        ranges = 1
+        for w in widths:
+            assert w <= 20
+            ranges *= w
+        assert ranges * 10 >= rows
+
+
+@pytest.mark.parametrize("limit, width", [(7, 3), (20, 2)])
+def test_a_deep_tree_gives_what_one_range_gives(spark, samples, monkeypatch, limit, width):
+    monkeypatch.setattr(ordered, "LIMIT", limit)
+    monkeypatch.setattr(ordered, "WIDTH", width)
+    features, data = samples
+    rows = [
+        (name, "baseline" if name == "train.csv" else "production_batch", i, *values)
+        for name, columns in data.items()
+        for i, values in enumerate(zip(*columns.values()))
+    ]
+    schema = "batch_file_name string, data_source string, label_fraud int, " + ", ".join(f"`{f}` double" for f in features)
+    txn = spark.createDataFrame([(a, b, i % 2, *v) for a, b, i, *v in rows], schema)
+    one = {(r.batch_name, r.feature): r.ks for r in feature_drift(txn, features, buckets=1).collect()}
+    many = {(r.batch_name, r.feature): r.ks for r in feature_drift(txn, features).collect()}
+    assert many == pytest.approx(one, abs=1e-12)
+    alone = {r.batch_file_name: r.roc_auc for r in roc_auc(txn, score="moved", buckets=1).collect()}
+    assert {r.batch_file_name: r.roc_auc for r in roc_auc(txn, score="moved").collect()} == pytest.approx(alone, abs=1e-12)
+
+
+def test_a_million_values_never_meet_in_one_task(spark, monkeypatch):
+    """Eight shuffle partitions, one series: the rows of the largest range stay about at the limit."""
+    monkeypatch.setattr(ordered, "LIMIT", 20_000)
+    monkeypatch.setattr(ordered, "WIDTH", 8)
+    txn = spark.range(1_000_000).select(
+        F.when(F.col("id") % 2 == 0, "train.csv").otherwise("a.csv").alias("batch_file_name"),
+        F.when(F.col("id") % 2 == 0, "baseline").otherwise("production_batch").alias("data_source"),
+        (F.rand(3) * F.rand(4) + (F.col("id") % 2) / 50).alias("x"),
+    )
+    hist, widths = ordered.sized(value_histogram(txn, ["x"]), "feature", None)
+    assert len(widths) == 2 and widths[0] <= 8
+    sizes = ordered.with_buckets(hist, "feature", "value", widths).groupBy(ordered.BUCKET).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1.5 * ordered.LIMIT and sizes.count() >= 50
+    (many,) = histogram_drift(hist, ["x"]).collect()
+    (one,) = histogram_drift(hist, ["x"], buckets=1).collect()
+    assert many.ks == pytest.approx(one.ks, abs=1e-12)

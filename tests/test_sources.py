@@ -5,7 +5,7 @@ from tidewatch.catalog.view import transactions
 from tidewatch.operators.quality import original_columns
 from tidewatch.operators.validation import high_risk
 from tidewatch.schema import DROP_COLUMNS, TEXT_TYPES, column_roles, require_columns
-from tidewatch.session import range_buckets, shared_folder
+from tidewatch.session import shared_folder
 from tidewatch.sources import outputs
 from tidewatch.sources.transactions import (
     describe_inputs,
@@ -125,4 +125,3 @@ def test_confusion_is_written_with_named_cells(spark, tmp_path):
 
 def test_session_settings(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert range_buckets(spark, 8) == 1 and range_buckets(spark, 1) == 8 and range_buckets(spark, 3, 5) == 5

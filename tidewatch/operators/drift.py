@@ -14,7 +14,6 @@ from tidewatch.schema import (
     column_roles,
     require_columns,
 )
-from tidewatch.session import range_buckets
 
 
 def numeric_features(txn: DataFrame) -> list[str]:
@@ -53,29 +52,35 @@ def feature_drift(
     two neighbouring batch values only the baseline moves, so the largest gap lies at
     a batch value or just below one: testing both limits there covers the baseline's
     own values without pairing the baseline with every batch. A side without values
-    gives 0. A stored ``baseline_histogram`` of the same features stands in for baseline
+    gives 0. Without ``buckets`` the value counts are written first, and their number sets the
+    ranges. A stored ``baseline_histogram`` of the same features stands in for baseline
     rows of ``txn``, which then needs production rows only.
     """
     features = list(features) if features is not None else numeric_features(txn)
     require_columns(txn, [*features, batch, SOURCE_COLUMN])
-    buckets = range_buckets(txn.sparkSession, len(features), buckets)
-
-    hist = value_histogram(txn, features, batch).where(ordered.non_negative(["n"]))
+    hist = value_histogram(txn, features, batch)
     if baseline_histogram is not None:
         hist = hist.unionByName(baseline_histogram)
+    return histogram_drift(hist, features, buckets)
+
+
+def histogram_drift(hist: DataFrame, features: list[str], buckets: int | None = None) -> DataFrame:
+    """As :func:`feature_drift`, from value counts of baseline and batches."""
+    hist, widths = ordered.sized(hist, "feature", buckets)
+    hist = hist.where(ordered.non_negative(["n"]))
     rows = (
-        ordered.with_buckets(hist, "feature", "value", buckets)
+        ordered.with_buckets(hist, "feature", "value", widths)
         .withColumn("base", F.when(F.col("is_baseline"), F.col("n")).otherwise(F.lit(0)))
         .withColumn("own", F.when(F.col("is_baseline"), F.lit(0)).otherwise(F.col("n")))
         .drop("n")
     )
-    if buckets > 1:
+    if widths:
         rows = ordered.add_heads(
             rows,
             "value",
             [
-                ordered.bucket_heads(rows, ["feature"], ["base"]),
-                ordered.bucket_heads(rows, ["feature", "batch_name", "is_baseline"], ["own"]),
+                ordered.bucket_heads(rows, ["feature"], ["base"], widths),
+                ordered.bucket_heads(rows, ["feature", "batch_name", "is_baseline"], ["own"], widths),
             ],
         ).withColumn("is_baseline", F.coalesce("is_baseline", F.lit(True)))
     else:
@@ -90,7 +95,7 @@ def feature_drift(
         ["feature"],
         [value_first, F.col("is_baseline").desc()],
         "base",
-        buckets,
+        widths,
         {"met": lambda frame: F.last(met, ignorenulls=True).over(frame)},
     ).where(~F.col("is_baseline"))
     base_at = F.when(F.col("met.value") == F.col("value"), F.col("met.base")).otherwise(F.lit(0))
@@ -99,7 +104,7 @@ def feature_drift(
         ["feature", "batch_name"],
         [value_first],
         "own",
-        buckets,
+        widths,
     )
 
     def gap(base, own):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import ordered
 from tidewatch.schema import BASELINE_SOURCE, BATCH_COLUMN, SOURCE_COLUMN, TARGET, MonitorConfig
-from tidewatch.session import range_buckets
 
 
 def predict_label(score: str | Column, threshold: float) -> Column:
@@ -75,19 +74,26 @@ def score_performance(
     half; NULL when a class is absent. Rows without score or label count in ``rows``
     only.
     """
-    buckets = range_buckets(df.sparkSession, 1, buckets)
-    hist = score_histogram(df, keys, score, label).where(ordered.non_negative(["n", "pos", "neg"]))
+    return histogram_performance(score_histogram(df, keys, score, label), keys, threshold, buckets)
+
+
+def histogram_performance(
+    hist: DataFrame, keys: list[str], threshold: float = MonitorConfig.score_threshold, buckets: int | None = None
+) -> DataFrame:
+    """As :func:`score_performance`, from counts by score."""
+    hist, widths = ordered.sized(hist, None, buckets)
+    hist = hist.where(ordered.non_negative(["n", "pos", "neg"]))
     # One cut list for all keys keeps the broadcast independent of their number.
-    rows = ordered.with_buckets(hist.withColumn("_series", F.lit("score")), "_series", "score", buckets)
+    rows = ordered.with_buckets(hist.withColumn("_series", F.lit("score")), "_series", "score", widths)
     rows = rows.drop("_series").withColumn(
         "below", F.when(F.col("score").isNotNull(), F.col("neg")).otherwise(F.lit(0))
     )
-    if buckets > 1:
-        rows = ordered.add_heads(rows, "score", [ordered.bucket_heads(rows, list(keys), ["below"])])
+    if widths:
+        rows = ordered.add_heads(rows, "score", [ordered.bucket_heads(rows, list(keys), ["below"], widths)])
     else:
         rows = rows.withColumn(ordered.HEAD, F.lit(False))
     ranked = ordered.running_counts(
-        rows, list(keys), [F.col("score").asc_nulls_first()], "below", buckets
+        rows, list(keys), [F.col("score").asc_nulls_first()], "below", widths
     ).where(~F.col(ordered.HEAD))
 
     scored = F.col("score").isNotNull()

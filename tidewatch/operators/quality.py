@@ -37,17 +37,25 @@ def missing_cells(df: DataFrame, columns: list[str]) -> Column:
     return sum((m.cast("int") for m in missing), F.lit(0))
 
 
-def quality_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows, missing cells and duplicate rows per key in one pass and one shuffle.
+def digest_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Copies and missing cells per key and row digest; tables of these counts can be added up.
 
     Only (key, digest, two counters) is shuffled instead of whole rows, and copies
     of one row meet map-side first, so a heavily repeated row is no hot spot.
     """
-    per_row = (
+    return (
         df.select(*keys, row_digest(df, columns).alias("_digest"), missing_cells(df, columns).alias("_missing"))
         .groupBy(*keys, "_digest")
         .agg(F.count("*").alias("copies"), F.sum("_missing").alias("missing"))
     )
+
+
+def quality_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows, missing cells and duplicate rows per key in one pass and one shuffle."""
+    return counted_digests(digest_counts(df, keys, columns), keys)
+
+
+def counted_digests(per_row: DataFrame, keys: list[str]) -> DataFrame:
     return per_row.groupBy(*keys).agg(
         F.sum("copies").alias("rows"),
         F.sum("missing").alias("missing_cells"),
@@ -76,8 +84,12 @@ def data_quality(
 ) -> DataFrame:
     """Missing share over all original columns, extra copies of full rows, and the flag."""
     columns = columns or original_columns(df)
-    counts = quality_counts(df, list(keys), columns)
-    share = F.col("missing_cells") / (F.col("rows") * len(columns))
+    return quality_flags(quality_counts(df, list(keys), columns), list(keys), len(columns), config)
+
+
+def quality_flags(counts: DataFrame, keys: list[str], columns: int, config: MonitorConfig = MonitorConfig()) -> DataFrame:
+    """Shares and the flag from rows, missing cells and duplicates of tables with so many columns."""
+    share = F.col("missing_cells") / (F.col("rows") * columns)
     return counts.select(
         *keys,
         share.alias("missing_percentage"),

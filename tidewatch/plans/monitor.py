@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tidewatch.operators.drift import (
     feature_drift,
     feature_drift_flag,
+    histogram_drift,
     numeric_features,
     prediction_drift,
     value_histogram,
 )
-from tidewatch.operators.performance import batch_performance
-from tidewatch.operators.quality import data_quality, original_columns
+from tidewatch.operators.performance import batch_performance, classification_metrics, histogram_performance
+from tidewatch.operators.quality import counted_digests, data_quality, original_columns, quality_flags
 from tidewatch.schema import (
     BASELINE_SOURCE,
     BATCH_COLUMN,
@@ -84,20 +85,48 @@ def monitor(
     features = list(features) if features is not None else numeric_features(txn.select(*columns))
 
     by_batch = batch_performance(txn, score, label, config=config)
-    if profile is not None:
-        risk = profile.risk.withColumn("is_baseline", F.lit(True))
-        by_batch = by_batch.unionByName(risk, allowMissingColumns=True)
-    performance = prediction_drift(by_batch, config)
     stored = profile.histogram if profile is not None else None
-    drift = feature_drift_flag(
-        feature_drift(txn, features, buckets=config.range_buckets, baseline_histogram=stored),
-        features,
-        config,
-    )
+    drift = feature_drift(txn, features, buckets=config.range_buckets, baseline_histogram=stored)
     production = txn.where(F.col(SOURCE_COLUMN) != BASELINE_SOURCE)
     quality = data_quality(production, [BATCH_COLUMN], columns, config).withColumnRenamed(
         BATCH_COLUMN, "batch_name"
     )
+    return _assembled(by_batch, drift, quality, features, profile, config)
+
+
+def monitor_counts(
+    values: DataFrame,
+    scores: DataFrame,
+    digests: DataFrame,
+    columns: int,
+    profile: BaselineProfile,
+    config: MonitorConfig = MonitorConfig(),
+) -> DataFrame:
+    """The same report from counts of production batches, which may have been added up from parts.
+
+    ``values`` is as :func:`value_histogram` gives it, ``scores`` as ``score_histogram`` and ``digests`` as
+    ``digest_counts`` by batch_name, of tables with so many ``columns``.
+    """
+    named = scores.withColumn("is_baseline", F.lit(False))
+    counts = histogram_performance(named, ["batch_name", "is_baseline"], config.score_threshold, config.range_buckets)
+    drift = histogram_drift(values.unionByName(profile.histogram), profile.features, config.range_buckets)
+    quality = quality_flags(counted_digests(digests, ["batch_name"]), ["batch_name"], columns, config)
+    return _assembled(classification_metrics(counts), drift, quality, profile.features, profile, config)
+
+
+def _assembled(
+    by_batch: DataFrame,
+    drift: DataFrame,
+    quality: DataFrame,
+    features: list[str],
+    profile: BaselineProfile | None,
+    config: MonitorConfig,
+) -> DataFrame:
+    if profile is not None:
+        risk = profile.risk.withColumn("is_baseline", F.lit(True))
+        by_batch = by_batch.unionByName(risk, allowMissingColumns=True)
+    performance = prediction_drift(by_batch, config)
+    drift = feature_drift_flag(drift, features, config)
     return (
         performance.join(drift, "batch_name")
         .join(quality, "batch_name")

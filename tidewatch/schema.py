@@ -109,7 +109,7 @@ class MonitorConfig:
     feature_drift_threshold: float = 0.15
     prediction_drift_threshold: float = 0.05
     missing_threshold: float = 0.05
-    # Value ranges per ordered statistic; None derives it from the shuffle width.
+    # Value ranges per ordered statistic; None derives them from the size of its histogram.
     range_buckets: int | None = None
 
 

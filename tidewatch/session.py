@@ -1,4 +1,4 @@
-"""Session settings: shuffle width and the shared folder for written intermediates."""
+"""The shared folder for written intermediates."""
 
 from __future__ import annotations
 
@@ -7,16 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def range_buckets(spark: SparkSession, series: int, requested: int | None = None) -> int:
-    """Value ranges per series so that ``series * buckets`` fills the shuffle width."""
-    wanted = requested if requested is not None else -(-shuffle_width(spark) // max(1, series))
-    return max(1, wanted)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, as the session has it.
 
