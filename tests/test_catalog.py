@@ -18,7 +18,9 @@ union_sources feature_projection scored volume_by_source risk_profile missing_by
 validation_sql data_quality missing_share confusion_table classification_metrics roc_auc roc_auc_ranges
 class_balance feature_drift feature_drift_ranges feature_drift_flag prediction_drift event_value_drift
 document_duplicates label_performance linear_attribution attribution_rank attribution_compare top_changes
-top_changes_text incidents incident_prompt sample_sizes split_sizes split_rows one_hot""".split()
+top_changes_text incidents incident_prompt sample_sizes split_sizes split_rows one_hot
+category_dictionary mixed_headers mixed_shapes column_listing snapshot_table run_log sample_total batch_incidents split_histogram
+root_split monitoring_report profile_report stream_report mean_abs_attribution overview severity kpi_cards""".split()
 
 
 @pytest.fixture(scope="module")

@@ -9,10 +9,13 @@ from tidewatch.session import shared_folder
 from tidewatch.sources import outputs
 from tidewatch.sources.transactions import (
     describe_inputs,
+    header_catalogue,
     load_baseline,
     load_batch,
     load_batches,
+    load_snapshot,
     load_transactions,
+    save_snapshot,
     save_transactions,
     save_transactions_at,
     union_sources,
@@ -105,15 +108,49 @@ def test_roles_and_required_columns(spark, sf_dir):
         require_columns(txn, [*DROP_COLUMNS, "nope"])
 
 
-def test_metric_log_appends(spark, tmp_path):
+def test_a_run_written_twice_is_one_run(spark, tmp_path):
     path = str(tmp_path / "log")
     report = spark.createDataFrame([("b.csv", 3, 0.5)], "batch_name string, rows long, accuracy double")
-    for _ in range(2):
-        outputs.log_metrics(report, path, params=("rows",), metrics=("accuracy",))
-    rows = spark.read.parquet(path).orderBy("kind").collect()
-    assert [(r.kind, r.key, r.text_value, r.value) for r in rows] == [
-        ("metric", "accuracy", None, 0.5)
-    ] * 2 + [("param", "rows", "3", None)] * 2
+    log = lambda rows, run: outputs.log_metrics(rows, path, run, params=("rows",), metrics=("accuracy",))
+    log(report, "r1")
+    log(report, "r1")
+    expected = [("metric", "accuracy", None, 0.5), ("param", "rows", "3", None)]
+    facts = lambda df: [(r.kind, r.key, r.text_value, r.value) for r in df.orderBy("kind").collect()]
+    assert facts(outputs.load_log(spark, path)) == expected
+    log(report.withColumn("rows", F.lit(4)), "r2")
+    log(report, None)
+    log(report.withColumn("batch_name", F.lit("c.csv")), "r1b")
+    assert outputs.load_log(spark, path).count() == 8
+    newest = outputs.latest_runs(outputs.load_log(spark, path))
+    assert facts(newest.where("run_name = 'b.csv'")) == expected and newest.count() == 4
+
+
+def test_each_batch_has_its_own_columns(spark, folder):
+    (folder / "b3.csv").mkdir()
+    (folder / "b3.csv" / "part-0.csv").write_text('amount,"label_fraud",transaction_id\n9,1,t9\n')
+    (folder / "b3.csv" / "part-1.csv").write_text("transaction_id,amount\nt10,1\n")
+    catalogue = header_catalogue(spark, str(folder))
+    assert {(r.batch_file_name, r.position, r.column_name) for r in catalogue.collect()} >= {("b3.csv", 1, "label_fraud"), ("b1.csv", 3, "channel")}
+    batches = load_batches(spark, str(folder), same_header=False)
+    shapes = {r.batch_file_name: (r.rows, r.columns) for r in describe_inputs(batches, catalogue=catalogue).collect()}
+    assert shapes == {"b1.csv": (4, 5), "b2.csv": (1, 5), "b3.csv": (2, 3)}
+
+
+def test_a_failed_write_leaves_the_former_version(spark, folder, tmp_path):
+    root, rows = str(tmp_path / "versions"), load_batches(spark, str(folder))
+    with pytest.raises(FileNotFoundError):
+        load_snapshot(spark, root)
+    first = save_snapshot(rows.where("transaction_id = 't1'"), root)
+    former = load_snapshot(spark, root)
+    broken = rows.withColumn("amount", F.when(F.col("transaction_id") == "t5", F.raise_error(F.lit("no"))).otherwise(F.col("amount")))
+    with pytest.raises(Exception, match="no"):
+        save_snapshot(broken, root)
+    assert load_snapshot(spark, root).count() == 1
+    save_snapshot(rows, root)
+    assert load_snapshot(spark, root).count() == 5 and former.count() == 1  # read and written at the same time
+    assert load_snapshot(spark, root, first).count() == 1
+    save_snapshot(rows, root, keep=1)
+    assert len(list((tmp_path / "versions").glob("version=*"))) == 2  # the newest, and the one that failed
 
 
 def test_confusion_is_written_with_named_cells(spark, tmp_path):

@@ -6,7 +6,7 @@ digests, UNION ALL instead of arrays), so that agreement means something.
 
 from __future__ import annotations
 
-from tidewatch.catalog.queries import EXPLAINED_BATCH
+from tidewatch.catalog.queries import EXPLAINED_BATCH, SHORT_HEADER
 from tidewatch.functions import text
 from tidewatch.schema import (
     CATEGORICAL_FEATURES,
@@ -599,6 +599,51 @@ ORACLE["root_split"] = sql(
        FROM bars b, whole, (VALUES (true), (false)) AS d(missing_left)
        WHERE b.bin >= 0 AND (b.category IS NULL OR NOT missing_left))""",
 )
+_SHORT = "batch_file_name >= 'batch_03'"
+ORACLE["mixed_headers"] = sql(
+    f"SELECT batch_file_name, * EXCLUDE (batch_file_name) REPLACE (CASE WHEN {_SHORT} THEN NULL ELSE ip_risk_score END AS ip_risk_score) "
+    f"FROM (SELECT batch_file_name, {LOADED} FROM production)"
+)
+ORACLE["mixed_shapes"] = sql(
+    f"""SELECT batch_file_name, count(*) AS "rows", CASE WHEN {_SHORT} THEN {len(SHORT_HEADER)} ELSE 19 END AS "columns" FROM production GROUP BY 1"""
+)
+_LISTED = ", ".join(map(literal, ORIGINAL))
+ORACLE["column_listing"] = sql(
+    f"""SELECT batch_file_name, (unnest(range(len(names))))::INT AS position, unnest(names) AS column_name FROM (
+          SELECT DISTINCT batch_file_name, CASE WHEN {_SHORT} THEN [{", ".join(literal(c) for c in SHORT_HEADER)}] ELSE [{_LISTED}] END AS names FROM production)"""
+)
+ORACLE["snapshot_table"] = ORACLE["transactions_table"]
+ORACLE["run_log"] = ORACLE["metric_log"]
+ORACLE["sample_total"] = sql("SELECT least(count(*), 500) AS sampled FROM transactions")
+ORACLE["category_dictionary"] = sql(
+    "SELECT column_name, value, dense_rank() OVER (PARTITION BY place ORDER BY value) - 1 AS number, "
+    "dense_rank() OVER (ORDER BY place, value) - 1 AS slot, column_name || '_' || value AS feature FROM seen",
+    "seen AS ("
+    + " UNION ".join(
+        f"SELECT {i} AS place, '{c}' AS column_name, {c} AS value FROM transactions WHERE data_source = 'baseline' AND {c} IS NOT NULL"
+        for i, c in enumerate(CATEGORICAL_FEATURES)
+    )
+    + ")",
+)
+_OWN = [
+    "own_ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_file_name ORDER BY shap_impact_change DESC, feature) AS place FROM comparison)",
+    "own_cells AS (SELECT batch_file_name, place, " + ", ".join(f"{_CELL[c]} AS c{i}" for i, c in enumerate(_TABLE)) + " FROM own_ranked WHERE place <= 10)",
+    "own_widths AS (SELECT batch_file_name, "
+    + ", ".join(f"CAST(greatest(max(length(c{i})), {len(c)}) AS INT) AS w{i}" for i, c in enumerate(_TABLE))
+    + " FROM own_cells GROUP BY 1)",
+    "own_tables AS (SELECT batch_file_name AS batch_name, any_value("
+    + " || '  ' || ".join(f"lpad({literal(c)}, w{i}, ' ')" for i, c in enumerate(_TABLE))
+    + ") || chr(10) || string_agg("
+    + " || '  ' || ".join(f"lpad(c{i}, w{i}, ' ')" for i in range(4))
+    + ", chr(10) ORDER BY place) AS top_changes FROM own_cells JOIN own_widths USING (batch_file_name) GROUP BY 1)",
+]
+ORACLE["batch_incidents"] = sql(
+    f"""SELECT batch_name, severity, {template(text.INCIDENT_TEXT, {"findings": FINDINGS})} AS summary
+        FROM severities JOIN own_tables USING (batch_name) WHERE anomaly_detected""",
+    *REPORT,
+    *IMPORTANCE,
+    *_OWN,
+)
 ORACLE["feature_drift_ranges"] = ORACLE["feature_drift"]
 ORACLE["roc_auc_ranges"] = ORACLE["roc_auc"]
 ORACLE["profile_report"] = ORACLE["monitoring_report"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,9 @@ from tidewatch.operators import performance as perf
 from tidewatch.operators import quality, reporting, validation
 from tidewatch.operators.boosting import BoostConfig, best_splits, first_level, model_nodes, score_boosted, train_boosted, width_cuts
 from tidewatch.operators.drift import feature_drift, feature_drift_flag, numeric_features, prediction_drift
-from tidewatch.operators.model import TrainConfig, encoder_stages, feature_frame, score
-from tidewatch.operators.sampling import sample_per_key, train_test_split
+from tidewatch.operators.model import TrainConfig, feature_frame, score
+from tidewatch.operators.dictionary import fit_dictionary, slot_counts, slots
+from tidewatch.operators.sampling import sample_n, sample_per_key, train_test_split
 from tidewatch.operators.tree_shap import tree_shap_rows
 from tidewatch.plans.explain import batch_importance, compare_batches
 from tidewatch.plans.incident import incident_lookup, incident_prompts, incidents
@@ -40,15 +41,12 @@ from tidewatch.streaming.monitor_stream import monitor_stream, read_batches
 SCORE = "fraud_probability_simulated"
 EXPLAINED_BATCH = "batch_02_feature_drift.csv"
 VALIDATION_TEXT = """
-WITH sized AS (
-  SELECT data_source, channel, amount, amount >= avg(amount) OVER (PARTITION BY data_source, channel) AS large
-  FROM {transactions}
-  WHERE amount IS NOT NULL
-)
-SELECT data_source, channel, count(*) AS payments, count_if(large) AS large_payments,
-       round(sum(CASE WHEN large THEN amount END) / sum(amount), 6) AS large_share
-FROM sized
-GROUP BY data_source, channel
+WITH payments AS (SELECT data_source, channel, amount FROM {transactions} WHERE amount IS NOT NULL),
+means AS (SELECT data_source, channel, avg(amount) AS mean FROM payments GROUP BY data_source, channel)
+SELECT p.data_source, p.channel, count(*) AS payments, count_if(amount >= mean) AS large_payments,
+       round(sum(CASE WHEN amount >= mean THEN amount END) / sum(amount), 6) AS large_share
+FROM payments AS p JOIN means AS m ON p.data_source <=> m.data_source AND p.channel <=> m.channel
+GROUP BY p.data_source, p.channel
 """
 
 
@@ -119,6 +117,45 @@ def q_batch_shapes(spark, sf_dir):
     return sources.describe_inputs(transactions(spark, sf_dir))
 
 
+SHORT_HEADER = [c for c in LOADED if c != "ip_risk_score"][::-1]
+
+
+def mixed_batches(spark, sf_dir):
+    """Text batches of two headers: later ones have fewer columns, in another order."""
+    path = run_folder(spark, "mixed")
+    rows = production(transactions(spark, sf_dir)).drop(SOURCE_COLUMN)
+    short = F.col(BATCH_COLUMN) >= "batch_03"
+    for part, columns in ((rows.where(~short), rows.columns), (rows.where(short), [*SHORT_HEADER, BATCH_COLUMN])):
+        part.select(*columns).write.mode("append").partitionBy(BATCH_COLUMN).option("header", True).csv(path)
+    return path
+
+
+def q_mixed_headers(spark, sf_dir):
+    """Batches whose headers differ, read by column name."""
+    return sources.load_batches(spark, mixed_batches(spark, sf_dir), same_header=False).select(BATCH_COLUMN, *LOADED)
+
+
+def q_mixed_shapes(spark, sf_dir):
+    """Rows and the columns that each batch's own files have."""
+    path = mixed_batches(spark, sf_dir)
+    batches = sources.load_batches(spark, path, same_header=False)
+    return sources.describe_inputs(batches, catalogue=sources.header_catalogue(spark, path))
+
+
+def q_column_listing(spark, sf_dir):
+    """Which columns each batch's files name, and where."""
+    catalogue = sources.header_catalogue(spark, mixed_batches(spark, sf_dir))
+    return catalogue.select(BATCH_COLUMN, "position", "column_name").distinct()
+
+
+def q_snapshot_table(spark, sf_dir):
+    """The unified table replaced by versions: the baseline alone, then all."""
+    root, txn = run_folder(spark, "snapshots"), transactions(spark, sf_dir)
+    sources.save_snapshot(baseline(txn), root)
+    sources.save_snapshot(txn, root)
+    return validation.risk_profile(sources.load_snapshot(spark, root))
+
+
 def q_transactions_table(spark, sf_dir):
     path = run_folder(spark, "transactions")
     sources.save_transactions_at(transactions(spark, sf_dir), path)
@@ -141,6 +178,15 @@ def q_metric_log(spark, sf_dir):
     return rounded(outputs.log_rows(report(spark, sf_dir)))
 
 
+def q_run_log(spark, sf_dir):
+    """The newest run of each batch's log, after an older run and a repeated write of the newest."""
+    path, rows = run_folder(spark, "log"), report(spark, sf_dir)
+    outputs.log_metrics(rows.withColumn("rows", F.lit(0)), path, "first")
+    for _ in range(2):
+        outputs.log_metrics(rows, path, "second")
+    return rounded(outputs.latest_runs(outputs.load_log(spark, path)).drop("ts", "run_id"))
+
+
 def q_incident_files(spark, sf_dir):
     path = run_folder(spark, "incidents")
     outputs.save_incidents(q_incidents(spark, sf_dir), path)
@@ -413,13 +459,19 @@ def q_incident_lookup(spark, sf_dir):
 
 
 def q_sample_n(spark, sf_dir):
-    return sample_per_key(transactions(spark, sf_dir), [BATCH_COLUMN], 500).select(
-        "transaction_id", BATCH_COLUMN
-    )
+    return sample_n(transactions(spark, sf_dir), 500).select("transaction_id", BATCH_COLUMN)
+
+
+def q_sample_total(spark, sf_dir):
+    """How many rows the sample has, and how many of them are rows of the table."""
+    ids = transactions(spark, sf_dir).select("transaction_id").distinct()
+    sample = q_sample_n(spark, sf_dir)
+    return sample.join(ids, "transaction_id", "left_semi").agg(F.count("*").alias("sampled"))
 
 
 def q_sample_sizes(spark, sf_dir):
-    return q_sample_n(spark, sf_dir).groupBy(BATCH_COLUMN).agg(F.count("*").alias("sampled"))
+    sample = sample_per_key(transactions(spark, sf_dir), [BATCH_COLUMN], 500)
+    return sample.groupBy(BATCH_COLUMN).agg(F.count("*").alias("sampled"))
 
 
 def q_train_test_split(spark, sf_dir):
@@ -434,20 +486,15 @@ def q_split_sizes(spark, sf_dir):
 def q_one_hot(spark, sf_dir):
     """Rows per batch in each one-hot slot, encoded with the baseline's categories."""
     txn = transactions(spark, sf_dir)
-    categorical, numeric = column_roles(txn)
-    fitted = Pipeline(stages=encoder_stages(categorical, numeric)[:2]).fit(baseline(txn))
-    slots = [
-        f"{c}_{v}" for c, values in zip(categorical, fitted.stages[0].labelsArray) for v in values
-    ]
-    dense = F.concat(*[vector_to_array(f"{c}_slots") for c in categorical])
-    return (
-        fitted.transform(txn)
-        .select(BATCH_COLUMN, F.posexplode(dense).alias("slot", "hit"))
-        .groupBy(BATCH_COLUMN, "slot")
-        .agg(F.sum("hit").cast("bigint").alias("total_rows"))
-        .where(F.col("total_rows") > 0)
-        .select(BATCH_COLUMN, F.get(F.array(*[F.lit(s) for s in slots]), F.col("slot")).alias("feature"), "total_rows")
-    )
+    categorical, _ = column_roles(txn)
+    return slot_counts(txn, fit_dictionary(baseline(txn), categorical), categorical, [BATCH_COLUMN])
+
+
+def q_category_dictionary(spark, sf_dir):
+    """The baseline's categories with their numbers and one-hot slots."""
+    txn = transactions(spark, sf_dir)
+    categorical, _ = column_roles(txn)
+    return slots(fit_dictionary(baseline(txn), categorical), categorical)
 
 
 @lru_cache(maxsize=4)
@@ -592,10 +639,15 @@ QUERIES = {
     "load_batch": q_load_batch,
     "load_all_batches": q_load_all_batches,
     "batch_shapes": q_batch_shapes,
+    "mixed_headers": q_mixed_headers,
+    "mixed_shapes": q_mixed_shapes,
+    "column_listing": q_column_listing,
+    "snapshot_table": q_snapshot_table,
     "transactions_table": q_transactions_table,
     "report_roundtrip": q_report_roundtrip,
     "attribution_roundtrip": q_attribution_roundtrip,
     "metric_log": q_metric_log,
+    "run_log": q_run_log,
     "incident_files": q_incident_files,
     "transactions": q_transactions,
     "union_sources": q_union_sources,
@@ -645,11 +697,13 @@ QUERIES = {
     "incident_prompt": q_incident_prompt,
     "incident_lookup": q_incident_lookup,
     "sample_n": q_sample_n,
+    "sample_total": q_sample_total,
     "sample_sizes": q_sample_sizes,
     "train_test_split": q_train_test_split,
     "split_sizes": q_split_sizes,
     "split_rows": q_split_rows,
     "one_hot": q_one_hot,
+    "category_dictionary": q_category_dictionary,
     "train_eval": q_train_eval,
     "train_log": q_train_log,
     "gbt_scores": q_gbt_scores,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.schema import TARGET
 
-_BUCKET_BITS = 20
+# Leading hash bits that rows are counted by: few enough that the counts stay small beside the rows.
+_BUCKET_BITS = 12
 
 
 def row_order(df: DataFrame, seed: int) -> Column:
@@ -18,15 +19,16 @@ def row_order(df: DataFrame, seed: int) -> Column:
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows without replacement: each task keeps its n first, then they merge."""
-    return df.orderBy(row_order(df, seed), *df.columns).limit(n)
+    """At most ``n`` rows without replacement; only rows up to the hash bound that holds n are ranked."""
+    return sample_per_key(df.withColumn("_all", F.lit(0)), ["_all"], n, seed).drop("_all")
 
 
 def sample_per_key(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows of every key.
 
     Counts by key and leading hash bits say below which hash a key has its n rows; only
-    rows up to that bound are ranked, so a key that holds most rows sends about n of them.
+    rows up to that bound are ranked, so a key that holds most rows sends about n of them, and each task at most
+    n of every key (for n up to a thousand).
     """
     hashed = df.withColumn("_hash", row_order(df, seed)).withColumn(
         "_bucket", F.shiftrightunsigned("_hash", 64 - _BUCKET_BITS)
@@ -77,7 +79,7 @@ def train_test_split(
 ) -> DataFrame:
     """Add ``split`` ('train' / 'test') with exact, stratified sizes.
 
-    Rows are ordered by a hash of their content. Its leading bits give 2^20 buckets
+    Rows are ordered by a hash of their content. Its leading bits give 2^12 buckets
     per class; bucket counts locate the one bucket where the class quota is met. Rows
     in other buckets are settled by comparison alone, and only that bucket is ranked.
     There, equal rows are ranked as one counted row, so copies cannot flood a task.

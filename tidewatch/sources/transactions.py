@@ -7,6 +7,7 @@ itself writes it. All batches form a single DataFrame with a batch column.
 from __future__ import annotations
 
 import csv
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,14 +102,37 @@ def load_batches(
     """
     if same_header:
         return _read_text(spark, [_files(path)], _header(spark, path), multi_line)
+    by_header: dict[str, list[str]] = {}
+    for row in _first_lines(spark, path).orderBy("line", "file").collect():
+        by_header.setdefault(row["line"], []).append(row["file"])
+    parts = [_read_text(spark, files, _names(line), multi_line) for line, files in by_header.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line), one row per file from one distributed read; like Spark's own listing of the folder, the driver can hold it."""
     lines = spark.read.options(pathGlobFilter="*.csv").text(_files(path))
     first = lines.where("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file"))
-    by_header = first.agg(F.first("value").alias("line")).groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    parts = [
-        _read_text(spark, row["files"], next(csv.reader([row["line"].removeprefix("\ufeff")])), multi_line)
-        for row in by_header.orderBy("line").collect()
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return first.agg(F.first("value").alias("line"))
+
+
+def _names(line: str) -> list[str]:
+    return next(csv.reader([line.removeprefix("\ufeff")]))
+
+
+def header_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(file, batch_file_name, position, column_name): what each file of a folder calls its columns.
+
+    First lines come from one distributed read, and each different one is taken apart once.
+    """
+    files = _first_lines(spark, path)
+    headers = [(r["line"], _names(r["line"])) for r in files.select("line").distinct().collect()]
+    known = spark.createDataFrame(headers, "_line string, names array<string>")
+    decoded = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
+    named = files.join(known, F.col("line") == F.col("_line"))
+    return named.select(
+        "file", F.regexp_extract(decoded, _BATCH_OF_PATH, 1).alias(BATCH_COLUMN), F.posexplode("names").alias("position", "column_name")
+    )
 
 
 def tag_source(df: DataFrame, source: str, batch_name: str | None = None) -> DataFrame:
@@ -126,10 +150,16 @@ def union_sources(
     return normalise_missing(both)
 
 
-def describe_inputs(df: DataFrame, batch: str = BATCH_COLUMN) -> DataFrame:
-    """Rows and original column count per batch."""
-    width = len([c for c in df.columns if c not in TAG_COLUMNS])
-    return df.groupBy(batch).agg(F.count("*").alias("rows")).withColumn("columns", F.lit(width))
+def describe_inputs(df: DataFrame, batch: str = BATCH_COLUMN, catalogue: DataFrame | None = None) -> DataFrame:
+    """Rows and original column count per batch.
+
+    With a ``catalogue`` of the files' headers a batch has the columns of its own files, whatever others have.
+    """
+    rows = df.groupBy(batch).agg(F.count("*").alias("rows"))
+    if catalogue is None:
+        return rows.withColumn("columns", F.lit(len([c for c in df.columns if c not in TAG_COLUMNS])))
+    widths = catalogue.groupBy(F.col(BATCH_COLUMN).alias("_batch")).agg(F.count_distinct("column_name").cast("int").alias("columns"))
+    return rows.join(widths, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
 
 
 def save_transactions(df: DataFrame, name: str, path: str | None = None) -> None:
@@ -147,3 +177,48 @@ def save_transactions_at(df: DataFrame, path: str) -> None:
 
 def load_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn(BATCH_COLUMN, F.col(BATCH_COLUMN).cast("string"))
+
+
+def save_snapshot(df: DataFrame, root: str, keep: int = 2) -> str:
+    """Replace the unified table below ``root`` in one step: readers see the former version until this one is whole.
+
+    A version is a folder of its own; it counts once its name is published, which is the creation of one empty
+    file. A write that fails leaves the former version. Versions before the newest ``keep`` are removed. Returns the version.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    save_transactions_at(df, f"{root}/version={version}")
+    published = _published(spark, root)
+    number = published[-1][0] + 1 if published else 0
+    files, path = _at(spark, f"{root}/{_PUBLISHED}/{number:012d}-{version}")
+    if not files.createNewFile(path):
+        raise FileExistsError(f"version {version} is already published")
+    for _, old in published[: max(0, len(published) + 1 - keep)]:
+        files, path = _at(spark, f"{root}/version={old}")
+        files.delete(path, True)
+    return version
+
+
+def load_snapshot(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The newest published version, or a given one. A plan keeps reading the version it was made with."""
+    published = _published(spark, root)
+    if not published:
+        raise FileNotFoundError(f"no version is published below {root}")
+    return load_transactions(spark, f"{root}/version={version or published[-1][1]}")
+
+
+# Hidden from Spark's readers by its first character.
+_PUBLISHED = "_published"
+
+
+def _at(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _published(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    files, path = _at(spark, f"{root}/{_PUBLISHED}")
+    if not files.exists(path):
+        files.mkdirs(path)
+    names = [x.getPath().getName() for x in files.listStatus(path)]
+    return sorted((int(n.split("-")[0]), n.split("-")[1]) for n in names)
