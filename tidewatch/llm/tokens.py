@@ -20,12 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words remembered by a worker; beyond it those not met again lately are forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 # Bytes of text encoded together: the more, the fewer words are looked up again.
 BATCH_BYTES = 8_000_000
 GATHERED = 128  # texts whose ids are put together at once
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"  # besides blank and newline
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 # One or two of a word tokenizer's units: letters, or letters and the signs after them.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-/:-@\\[-`{-~]*)")
@@ -127,7 +128,10 @@ class Encoder:
 
     def _after_spaces(self, words: list[str]) -> list[bytes]:
         """Words that follow a space, as one text: each begins with an id that starts with a space."""
-        plain = [w for w in words if w.split() == [w]]
+        if _OTHER_SPACE.search("".join(words)):
+            plain = [w for w in words if w.split() == [w]]
+        else:  # no word holds a blank, so a newline is all that there can be
+            plain = [w for w in words if w and "\n" not in w]
         if not plain:
             return self._one_by_one(words, " ")
         ids = self._together([" " + " ".join(plain)])
@@ -168,7 +172,7 @@ def _cut_at(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
 def _odd(text: str) -> bool:
     """Whether some space does not stand between two other characters, or there is white space of other kinds."""
     edge = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
-    return edge or bool(_OTHER_SPACE.search(text))
+    return edge or (any(c in text for c in _ASCII_SPACE) if text.isascii() else bool(_OTHER_SPACE.search(text)))
 
 
 def _before_spaces(text: str) -> list[str]:
