@@ -1,10 +1,11 @@
 """Language of a text by character models, one per language.
 
 Each model is an interpolated Kneser-Ney model of orders 1 to ``ORDER`` over lower-cased letters and
-single spaces. Its counts are of all learnable rows; n-grams are kept by a hash of ``BITS`` bits per
-order, so a model has at most 2**BITS entries an order however much it has read. All models together are
-sorted arrays of hashes with a column per language, small enough to be broadcast. A text's language
-is that of the lowest cross-entropy per character.
+single spaces. Its counts are of the learnable rows but for a fold of them, which sets how far a score
+is to be trusted and which texts are rejected; n-grams are kept by a hash of ``BITS`` bits, so entries follow the
+n-grams found (of letters, hence some ten thousand for an alphabet, however much is read). All models together are
+sorted arrays of hashes with a column per language. A text's language is that of the lowest cross-entropy
+per character.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from tidewatch.llm.common import slices, written
 from tidewatch.llm.grams import hashes, letters, segments, spread_bits
 
 ORDER = 4
-BITS = 20
+BITS = 62
+FOLD = 10  # one learnable row in so many is left out of the counts,
+FOLD_FROM = 100  # of the languages with so many of them
 NO_LANGUAGE = "und"
 # Powers of the evidence tried; the one that fits the learnable rows best makes the score.
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
@@ -70,17 +73,17 @@ def count_grams(rows: DataFrame) -> DataFrame:
             for at in range(0, len(done), 100_000):
                 part = done.iloc[at : at + 100_000]
                 yield pa.record_batch(
-                    [pa.array(part["lang"], pa.string()), *(pa.array(part[c], pa.int32()) for c in names), pa.array(part["n"], pa.int64())],
+                    [pa.array(part["lang"], pa.string()), *(pa.array(part[c], pa.int64()) for c in names), pa.array(part["n"], pa.int64())],
                     names=["lang", *names, "n"],
                 )
 
-    counted = rows.mapInArrow(count, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
+    counted = rows.mapInArrow(count, "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long")
     # One gram of the highest order may come with other keys where hashes meet; any of them will do.
     return counted.groupBy("lang", f"g{ORDER}").agg(*[F.min(c).alias(c) for c in names if c != f"g{ORDER}"], F.sum("n").alias("n"))
 
 
 def _model(frame: pd.DataFrame) -> pd.DataFrame:
-    """One language's model, from at most 2**BITS counts: an entry per order, as packed arrays."""
+    """One language's model from its different n-grams: an entry per order, as packed arrays."""
     out, level = [], frame
     for k in range(ORDER, 0, -1):
         counts = level["n"].to_numpy(np.float64)
@@ -94,9 +97,9 @@ def _model(frame: pd.DataFrame) -> pd.DataFrame:
             (
                 level["lang"].iloc[0],
                 k,
-                grams[order].astype("<i4").tobytes(),
+                grams[order].astype("<i8").tobytes(),
                 np.maximum(counts - discount, 0)[order].astype("<f4").tobytes(),
-                totals.index.to_numpy().astype("<i4").tobytes(),
+                totals.index.to_numpy().astype("<i8").tobytes(),
                 totals["sum"].to_numpy().astype("<f4").tobytes(),
                 (discount * totals["count"] / totals["sum"]).to_numpy().astype("<f4").tobytes(),
             )
@@ -126,13 +129,13 @@ class Models:
         self.base = np.float32(1 / vocabulary)
 
     def _columns(self, rows: pd.DataFrame, key: str, values: list[str]) -> tuple[np.ndarray, ...]:
-        keys = np.unique(np.concatenate([np.frombuffer(b, "<i4") for b in rows[key]]))
+        keys = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in rows[key]]))
         out = [np.zeros((len(keys), len(self.langs)), np.float32) for _ in values]
         if "weights" in values:  # a context never seen leaves all to the lower order
             out[0][:] = np.inf
             out[1][:] = 1
         for row in rows.itertuples():
-            at = np.searchsorted(keys, np.frombuffer(getattr(row, key), "<i4"))
+            at = np.searchsorted(keys, np.frombuffer(getattr(row, key), "<i8"))
             for column, name in zip(out, values, strict=True):
                 column[at, self.langs.index(row.lang)] = np.frombuffer(getattr(row, name), "<f4")
         return keys, *out
@@ -183,9 +186,10 @@ def identify(
     ``learn_from`` is a condition on ``docs``: the models learn from those of its rows that have a
     language. A text that is missing or has no letter is ``und`` with score 0 (so is every text if there
     is nothing to learn from). The score is the share of the best language when each has the weight
-    exp(-sharpness * cross-entropy), with the sharpness that makes the learnable rows likeliest. A row
-    is ``rejected`` if its cross-entropy is above a high quantile of those learnable rows that were
-    rightly given the same language. Equal cross-entropies go to the first name in order.
+    exp(-sharpness * cross-entropy), with the sharpness that makes the learnable rows left out of the counts
+    likeliest. A row is ``rejected`` if its cross-entropy is above a high quantile of those of these rows
+    that were rightly given the same language; a language with too few of them for that
+    quantile (a thousand for 0.999) rejects nothing. Equal cross-entropies go to the first name in order.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -194,7 +198,10 @@ def identify(
         F.when(learn_from, F.col(lang_column)).alias("lang"),
         F.coalesce(learn_from, F.lit(False)).alias("learn"),
     )
-    models = train(rows.where(F.col("lang").isNotNull()).select("lang", "text"))
+    taught = rows.where(F.col("lang").isNotNull())
+    large = [r["lang"] for r in taught.groupBy("lang").count().where(F.col("count") >= FOLD_FROM).collect()]  # names only
+    left_out = F.coalesce(F.col("lang").isin(large), F.lit(False)) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLD)) == 0)
+    models = train(taught.where(~left_out).select("lang", "text"))
     if models is None:
         none = rows.select(
             "doc_id", (~F.col("learn")).alias("held_out"), F.lit(NO_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score")
@@ -208,12 +215,15 @@ def identify(
             ends = np.arange(0, entropy.size + 1, entropy.shape[1], dtype="<i4")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(entropy.ravel()))
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("lang"), batch.column("learn"), lists, pa.array(sizes)],
-                names=["doc_id", "lang", "learn", "entropy", "size"],
+                [*(batch.column(c) for c in ("doc_id", "lang", "learn", "left_out")), lists, pa.array(sizes)],
+                names=["doc_id", "lang", "learn", "left_out", "entropy", "size"],
             )
 
     scored = written(
-        rows.mapInArrow(score, "doc_id long, lang string, learn boolean, entropy array<double>, size long"), "languages"
+        rows.withColumn("left_out", left_out).mapInArrow(
+            score, "doc_id long, lang string, learn boolean, left_out boolean, entropy array<double>, size long"
+        ),
+        "languages",
     )
     least = F.array_min("entropy")
     names = F.array(*[F.lit(x) for x in models.langs])
@@ -224,13 +234,14 @@ def identify(
         own = F.exp(F.lit(-sharpness) * (entropy - F.array_min("entropy")))
         return own / F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
 
-    known = scored.where(F.col("lang").isNotNull() & (F.col("size") > 0))
+    known = scored.where(F.col("left_out") & F.col("lang").isNotNull() & (F.col("size") > 0))
     true = F.get("entropy", (F.array_position(names, F.col("lang")) - 1).cast("int"))
     fits = known.agg(*[F.avg(F.log(F.greatest(share(true, s), F.lit(1e-12)))).alias(f"s{i}") for i, s in enumerate(SHARPNESS)]).first()
     sharpness = SHARPNESS[int(np.argmax([-np.inf if v is None else v for v in fits]))]
     limits = known.where(best == F.col("lang")).groupBy(F.col("lang").alias("lang_pred")).agg(
-        F.percentile_approx(least, reject_above, 10_000).alias("limit")
+        F.percentile_approx(least, reject_above, 10_000).alias("limit"), F.count("*").alias("n")
     )
+    limits = limits.where(F.col("n") * (1 - reject_above) >= 1 - 1e-9).drop("n")
     found = F.col("size") > 0
     return (
         scored.select(
@@ -243,6 +254,6 @@ def identify(
         .join(F.broadcast(limits), "lang_pred", "left")
         .select(
             "doc_id", "held_out", "lang_pred", "score", "cross_entropy",
-            (F.col("limit").isNull() | (F.col("cross_entropy") > F.col("limit"))).alias("rejected"),
+            ((F.col("lang_pred") == NO_LANGUAGE) | F.coalesce(F.col("cross_entropy") > F.col("limit"), F.lit(False))).alias("rejected"),
         )
     )
