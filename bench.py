@@ -58,6 +58,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # the tables are small beside the cores
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.performance import class_weight
 from tidewatch.schema import DROP_COLUMNS, TAG_COLUMNS, TARGET, column_roles, require_columns
-from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.session import ensure_checkpoint_dir, run_folder
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def train(df: DataFrame, config: TrainConfig = TrainConfig()) -> PipelineModel:
     """Fit encoder and trees on labelled rows, positives weighted by the class ratio."""
     ensure_checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
     categorical, numeric = column_roles(feature_frame(df))
-    data = feature_label(df)
+    data = _stored(feature_label(df))
     ratio = class_weight(data).select("scale_pos_weight").scalar()
     weighted = data.withColumn(
         "_weight", F.when(F.col(TARGET) == 1, F.coalesce(ratio, F.lit(1.0))).otherwise(F.lit(1.0))
@@ -96,6 +96,13 @@ def train(df: DataFrame, config: TrainConfig = TrainConfig()) -> PipelineModel:
     return Pipeline(stages=[*encoder_stages(categorical, numeric), trees]).fit(weighted)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows in the shared folder: the class ratio, the labels, the means and the trees each pass over them."""
+    path = run_folder(df.sparkSession, "training")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
     """Probability of class 1 as a new column; the input columns are kept as they are."""
     return model.transform(df).select(
