@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words remembered by a worker; beyond it those not met again lately are forgotten.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 # Bytes of text encoded together: the more, the fewer words are looked up again.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 6_000_000
 GATHERED = 128  # texts whose ids are put together at once
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
