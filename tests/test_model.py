@@ -19,7 +19,7 @@ from tidewatch.operators.model import (
     score,
     transform_features,
 )
-from tidewatch.operators.tree_shap import leaf_tables, node_table, shapley_table, tree_shap, tree_shap_rows
+from tidewatch.operators.tree_shap import explain_rows, leaf_tables, node_table, shapley_table, tree_shap, tree_shap_rows
 from tidewatch.plans.explain import batch_importance, compare_batches, explain_batch
 from tidewatch.plans.training import train_and_evaluate
 from tidewatch.schema import TAG_COLUMNS
@@ -132,6 +132,21 @@ def test_explanations(trained, txn):
     assert tree_shap(trained.model, txn.limit(2), ["transaction_id"]).count() == 2 * len(names)
 
 
+def test_rows_are_explained_largest_first_with_their_values(trained, txn):
+    rows = txn.where("data_source = 'baseline'").limit(20).coalesce(1)
+    names = encoder_names(trained.model)
+    seen = {r.transaction_id: dict(zip(names, r.features)) for r in transform_features(trained.model, rows).collect()}
+    phi = {}
+    for r in tree_shap(trained.model, rows, ["transaction_id"]).collect():
+        phi.setdefault(r.transaction_id, []).append((r.feature, r.phi))
+    found = {}
+    for r in explain_rows(trained.model, rows, ["transaction_id"], 5).orderBy("rank").collect():
+        assert r.value == seen[r.transaction_id][r.feature]
+        found.setdefault(r.transaction_id, []).append((r.feature, r.phi))
+    assert found == {k: sorted(v, key=lambda x: (-abs(x[1]), names.index(x[0])))[:5] for k, v in phi.items()}
+    assert explain_rows(trained.model, rows, ["transaction_id"]).count() == 20 * len(names)
+
+
 def test_linear_attribution_adds_up(spark):
     df = spark.createDataFrame([(1, 2.0, None), (2, 4.0, 1.0)], "id long, a double, b double")
     weights = {"a": 0.5, "b": -1.0}

@@ -599,6 +599,13 @@ ORACLE["root_split"] = sql(
        FROM bars b, whole, (VALUES (true), (false)) AS d(missing_left)
        WHERE b.bin >= 0 AND (b.category IS NULL OR NOT missing_left))""",
 )
+ORACLE["explained_amounts"] = sql(
+    " UNION ALL ".join(
+        f"SELECT batch_file_name, '{c}' AS feature, count(*) AS total_rows, round(sum({c})::DOUBLE, 2) AS sum_value FROM transactions GROUP BY 1"
+        for c in NUMERIC_FEATURES
+        if c != "ip_risk_score"
+    )
+)
 _SHORT = "batch_file_name >= 'batch_03'"
 ORACLE["mixed_headers"] = sql(
     f"SELECT batch_file_name, * EXCLUDE (batch_file_name) REPLACE (CASE WHEN {_SHORT} THEN NULL ELSE ip_risk_score END AS ip_risk_score) "

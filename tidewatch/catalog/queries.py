@@ -19,7 +19,7 @@ from tidewatch.operators.drift import feature_drift, feature_drift_flag, numeric
 from tidewatch.operators.model import TrainConfig, feature_frame, score
 from tidewatch.operators.dictionary import fit_dictionary, slot_counts, slots
 from tidewatch.operators.sampling import sample_n, sample_per_key, train_test_split
-from tidewatch.operators.tree_shap import tree_shap_rows
+from tidewatch.operators.tree_shap import explain_rows, tree_shap_rows
 from tidewatch.plans.explain import batch_importance, compare_batches
 from tidewatch.plans.incident import incident_lookup, incident_prompts, incidents
 from tidewatch.plans.monitor import load_profile, monitor, save_profile
@@ -569,6 +569,24 @@ def q_shap_additivity(spark, sf_dir):
     )
 
 
+def q_explain_rows(spark, sf_dir):
+    """The three largest attributions of every row, with the feature's value."""
+    model, txn = fitted_model(spark, sf_dir), transactions(spark, sf_dir)
+    return explain_rows(model, txn, ["transaction_id", BATCH_COLUMN], 3)
+
+
+def q_explained_amounts(spark, sf_dir):
+    """All attributions of all rows: how many there are of each number, and the sum of the values explained."""
+    model, txn = fitted_model(spark, sf_dir), transactions(spark, sf_dir)
+    long = explain_rows(model, txn, ["transaction_id", BATCH_COLUMN])
+    known = [c for c in column_roles(txn)[1] if c != "ip_risk_score"]  # that one has gaps, filled with a mean
+    return (
+        long.where(F.col("feature").isin(known))
+        .groupBy(BATCH_COLUMN, "feature")
+        .agg(F.count("*").alias("total_rows"), F.round(F.sum("value"), 2).alias("sum_value"))
+    )
+
+
 def q_split_rows(spark, sf_dir):
     """Both parts of the split together: every baseline row, once per copy."""
     return train_test_split(baseline(transactions(spark, sf_dir))).drop("split").select(
@@ -716,4 +734,6 @@ QUERIES = {
     "tree_shap": q_tree_shap,
     "shap_additivity": q_shap_additivity,
     "explain_batches": q_explain_batches,
+    "explain_rows": q_explain_rows,
+    "explained_amounts": q_explained_amounts,
 }
