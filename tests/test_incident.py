@@ -7,9 +7,10 @@ from tidewatch.plans.incident import incident_lookup, incidents
 from tidewatch.schema import BATCH_COLUMN
 
 
-def test_every_incident_quotes_its_own_batch(spark, sf_dir):
-    report = queries.report(spark, sf_dir).localCheckpoint()
-    changes = queries.comparison(spark, sf_dir).localCheckpoint()
+def test_every_incident_quotes_its_own_batch(spark, sf_dir, tmp_path):
+    queries.report(spark, sf_dir).write.parquet(str(tmp_path / "report"))
+    queries.comparison(spark, sf_dir).write.parquet(str(tmp_path / "changes"))
+    report, changes = (spark.read.parquet(str(tmp_path / name)) for name in ("report", "changes"))
     got = {r.batch_name: r.summary for r in incidents(report, changes).collect()}
     assert len(got) > 1 and len({t.split("feature ", 1)[-1] for t in got.values()}) > 1
     for name, text in got.items():
