@@ -2,10 +2,11 @@
 
 The model is an interpolated modified Kneser-Ney model. Its counts, continuation counts and context
 sums are tables keyed by the n-gram, as large as the text makes them, and the probabilities of all
-n-grams that occur in any document come from joins of these tables, one order after the other. The
-table of log-probabilities is then cut into shards of at most ``SHARD_GRAMS`` n-grams by hash; each shard
-is held against all documents in turn and gives every document a partial sum. Memory is bounded by
-the shard, and the number of shards follows the corpus.
+n-grams that occur in any document come from joins of these tables, one order after the other. One
+scan of the texts then gives each document its sums: the most frequent n-grams, at most
+``COMMON_GRAMS``, are looked up in a broadcast table; of all others the scan leaves (document, n-gram,
+count), which meet their log-probabilities in a join on the n-gram. None of those is a hot key, as
+each is rarer than every frequent one.
 
 A document is rejected when its perplexity, drawn towards the median as far as it is short, is above the limit of its language: a high quantile of the
 trusted documents of that language that the model has not read, with a margin.
@@ -14,7 +15,6 @@ trusted documents of that language that the model has not read, with a margin.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from tidewatch.llm.common import slices, written
 from tidewatch.llm.grams import hashes, points, segments
 
 ORDER = 5
-SHARD_GRAMS = 1 << 20  # 12 bytes each in a task's memory and in a broadcast
+COMMON_GRAMS = 1 << 18  # 12 bytes each in a broadcast; more change what is shuffled, not the result
+SCALE = 1 << 24  # log-probabilities are added up as whole numbers of this part, so their order doesn't count
 QUANTILE = 0.995
 MARGIN = 1.15  # the limit is that quantile times this
 # A text is judged as if so many more characters had its language's median perplexity: a few say little.
@@ -77,9 +78,9 @@ def _cut(discounts: list[float]) -> Column:
 
 
 def probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, log_p) of each of the ``wanted`` n-grams under the model of the ``trusted`` counts."""
+    """(gram, n, log_p) of each of the ``wanted`` n-grams, (gram, n), under the model of the ``trusted`` counts."""
     counts = {ORDER: trusted}
-    asked = {ORDER: wanted.select("gram")}
+    asked = {ORDER: wanted.select("gram", F.col("n").alias("times"))}
     for k in range(ORDER - 1, 0, -1):
         lower = F.substring("gram", 2, k).alias("gram")
         # Each order's tables are stored, so no plan spans more than one order.
@@ -94,54 +95,89 @@ def probabilities(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
             F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("left")
         )
         own = counts[k].select("gram", (F.col("n") - cut).alias("kept"))
-        rows = asked[k].select("gram", context, F.substring("gram", 2, k - 1).alias("lower"))
+        rows = asked[k].select("*", context, F.substring("gram", 2, k - 1).alias("lower"))
         if found is None:
             rows = rows.withColumn("below", F.lit(1.0 / (letters + 1)))
         else:
             rows = rows.join(found.select(F.col("gram").alias("lower"), F.col("p").alias("below")), "lower")
         p = F.coalesce(F.col("kept") / F.col("total"), F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("below")
-        found = written(rows.join(sums, "context", "left").join(own, "gram", "left").select("gram", p.alias("p")), "probabilities")
-    return found.select("gram", F.log("p").alias("log_p"))
+        found = written(rows.join(sums, "context", "left").join(own, "gram", "left").select(*asked[k].columns, p.alias("p")), "probabilities")
+    return found.select("gram", F.col("times").alias("n"), F.log("p").alias("log_p"))
 
 
 def hashed(table: DataFrame) -> DataFrame:
-    """(key, log_p): the n-grams by the hash that a scan of a text gives them."""
+    """(key, n, weight): the n-grams by the hash that a scan of a text gives them; weight is log_p in parts of SCALE."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 50_000):
             flat = points("".join(batch.column("gram").to_pylist()))
             keys = hashes(flat, ORDER)[ORDER][ORDER - 1 :: ORDER]
-            yield pa.record_batch([pa.array(keys.view(np.int64)), batch.column("log_p").cast(pa.float32())], names=["key", "log_p"])
+            yield pa.record_batch([pa.array(keys.view(np.int64)), batch.column("n"), batch.column("weight")], names=["key", "n", "weight"])
 
-    return table.mapInArrow(key, "key long, log_p float")
+    weight = F.round(F.col("log_p") * SCALE).cast("long")
+    return table.select("gram", "n", weight.alias("weight")).mapInArrow(key, "key long, n long, weight long")
 
 
-def _sums(rows: DataFrame, shard: DataFrame, number: int, of: int) -> DataFrame:
-    """Each row's sum over the n-grams of one shard, and its characters."""
-    held = shard.toArrow()
-    keys, values = (held.column(c).to_numpy() for c in ("key", "log_p"))
+def _least_common(table: DataFrame) -> float:
+    """The n-grams in classes by the logarithm of their count: the least class of which, with all above, few enough are."""
+    classes = table.groupBy(_class().alias("c")).agg(F.count("*").alias("n")).collect()
+    least, held = float("inf"), 0
+    for c, n in sorted(map(tuple, classes), reverse=True):
+        held += n
+        if held > COMMON_GRAMS:
+            break
+        least = c
+    return least
+
+
+def _class() -> Column:
+    return F.floor(F.log2("n") * 8).cast("double")
+
+
+def _scan(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """Each row's characters, its sum over the common n-grams, and its other n-grams with their counts."""
+    held = common.toArrow()
+    keys, values = (held.column(c).to_numpy() for c in ("key", "weight"))
     order = np.argsort(keys)
-    table = rows.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    # One more weight, as the place of a key beyond all others is the table's length.
+    table = rows.sparkSession.sparkContext.broadcast((keys[order], np.append(values[order], 0)))
     del held, keys, values, order
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = table.value
+        keys, weights = table.value
         for batch in slices(batches):
             texts = [points(t) for t in batch.column("text").to_pylist()]
-            total, size = np.zeros(len(texts)), np.array([len(t) for t in texts], np.int64)
+            total, size = np.zeros(len(texts), np.int64), np.array([len(t) for t in texts], np.int64)
+            where, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for flat, at, which in segments(texts, ORDER):
                 h, inverse = np.unique(hashes(flat, ORDER)[ORDER][at].view(np.int64), return_inverse=True)
-                ours = h % of == number
-                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                if (keys[place[ours]] != h[ours]).any():
-                    raise ValueError("the texts changed between counting and scoring")
-                total += np.bincount(which, np.where(ours, values[place], 0)[inverse], minlength=len(texts))
+                place = np.searchsorted(keys, h)
+                known = keys[np.minimum(place, len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
+                # Whole numbers below 2^53: a piece has at most SEGMENT characters.
+                piece = np.bincount(which, np.where(known, weights[place], 0)[inverse], minlength=len(texts))
+                total += piece.astype(np.int64)
+                rest = ~known[inverse]
+                where.append(which[rest])
+                grams.append(h[inverse[rest]])
+            where, grams = np.concatenate(where), np.concatenate(grams)
+            order = np.lexsort((grams, where))
+            where, grams = where[order], grams[order]
+            first = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (grams[1:] != grams[:-1])][: len(where)])
+            times = np.diff(np.append(first, len(where)))
+            ends = pa.array(np.searchsorted(where[first], np.arange(len(texts) + 1)).astype(np.int32))
             yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), batch.column("lang"), pa.array(total), pa.array(size)],
-                names=["row", "doc_id", "lang", "total", "size"],
+                [
+                    *(batch.column(c) for c in ("row", "doc_id", "lang")),
+                    *(pa.array(total), pa.array(size)),
+                    pa.ListArray.from_arrays(ends, pa.array(grams[first])),
+                    pa.ListArray.from_arrays(ends, pa.array(times)),
+                ],
+                names=["row", "doc_id", "lang", "total", "size", "key", "times"],
             )
 
-    sums = written(rows.mapInArrow(score, "row long, doc_id long, lang string, total double, size long"), "sums")
+    sums = rows.mapInArrow(score, "row long, doc_id long, lang string, total long, size long, key array<long>, times array<long>")
+    # The numbers are written with the rows, so they stay what they are.
+    sums = written(sums.withColumn("place", F.monotonically_increasing_id()), "sums")
     table.destroy()
     return sums
 
@@ -160,21 +196,18 @@ def perplexities(
     wanted = written(count_grams(rows), "grams")
     counts = written(count_grams(trusted), "trusted-grams")
     table = written(hashed(probabilities(counts, wanted)), "log-probabilities")
-    shards = -(-table.count() // SHARD_GRAMS)
-    if not shards:  # no text at all
-        return rows.select("row", "doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(0).cast("long").alias("size"))
-    place = lambda s: F.pmod(F.col("key"), F.lit(shards)) == s
-    # One shard after the other, so that the driver and the tasks hold one at a time.
-    parts = [_sums(rows, table.where(place(s)), s, shards) for s in range(shards)]
-    total = parts[0]
-    if shards > 1:
-        same = ["row", "doc_id", "lang", "size"]
-        total = reduce(DataFrame.union, parts)
-        # Rows alike in all of these have the same sum: each shard gave it once per row.
-        total = total.groupBy(same).agg((F.sum("total") / (F.count("*") / shards)).alias("total"), F.count("*").alias("n"))
-        total = total.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / shards).cast("int")))).select(*same, "total")
-    perplexity = F.when(F.col("size") > 0, F.exp(-F.col("total") / F.col("size")))
-    return total.select("row", "doc_id", "lang", perplexity.alias("perplexity"), "size")
+    least = _least_common(table)
+    sums = _scan(rows, table.where(_class() >= least).select("key", "weight"))
+    others = table.where(_class() < least).groupBy("key").agg(F.min("weight").alias("weight"))
+    asked = sums.select("place", F.explode(F.arrays_zip("key", "times")).alias("gram")).select("place", "gram.key", "gram.times")
+    lost = F.raise_error(F.lit("the texts changed between counting and scoring")).cast("long")
+    part = F.when(F.col("weight").isNull(), lost).otherwise(F.col("weight") * F.col("times"))
+    # Both sides grow with the corpus, so the plan is the same at every size: merges, never a broadcast.
+    rest = asked.join(others.hint("merge"), "key", "left").groupBy("place").agg(F.sum(part).alias("rest"))
+    total = F.col("total") + F.coalesce("rest", F.lit(0))
+    perplexity = F.when(F.col("size") > 0, F.exp(-total / F.lit(SCALE) / F.col("size")))
+    found = sums.drop("key", "times").join(rest.hint("merge"), "place", "left")
+    return found.select("row", "doc_id", "lang", perplexity.alias("perplexity"), "size")
 
 
 def calibrates(doc_id: Column) -> Column:
