@@ -3,7 +3,10 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from tests.llm.helpers import LOW, documents, frame, odd_documents
+from tidewatch.llm import line_dedup
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.queries import QUERIES
 
@@ -34,6 +37,15 @@ def test_query(spark, sf_dir):
         assert tuple(got.loc[i]) == (n, dropped, hashlib.sha256(text.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("keys", [1, 3, 1 << 14])
+def test_frequent_lines(spark, monkeypatch, keys):
+    """Lines of one row in two, of some rows and of five: looked up where they are or joined, the same goes."""
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", keys)
+    rows = [(i, "\n".join([f"own line {i:04}", *("everywhere" for _ in range(i % 2 * 2)), f"line of {i % 7:04}", f"line of five {i // 5:04}"])) for i in range(300)]
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(frame(spark, rows, "doc_id long, text string"), 8, 5).collect()}
+    assert got == {(i, *x) for (i, _), x in zip(rows, brute(rows, 8, 5), strict=True)}
+
+
 def test_small_cases(spark):
     rows = [
         (1, "Shared LINE\nown one"), (2, "  shared line\t\nshared line\nown two"), (3, "SHARED line"), (3, "shared line\nthree"),

@@ -3,7 +3,8 @@
 Two Bloom filters say which lines can repeat at all: a key enters the second when the first has it
 already. Each task fills a pair for its own rows; pairs merge by OR, and what two first filters have in
 common enters the second, so the merged second filter holds every key of two documents or more,
-and only keys it holds leave their task, as SHA-256 digests. Those are counted exactly. A filter's size
+and only keys it holds leave their task, as SHA-256 digests. Those are counted exactly, and rows of very
+frequent lines learn their count where they are. A filter's size
 follows the bytes of text up to ``MOST_BITS``; a fuller filter lets more lines through to the count
 and changes no result.
 """
@@ -25,6 +26,7 @@ from tidewatch.llm.common import slices, written
 BITS_PER_KEY = 8
 MOST_BITS = 1 << 28  # 32 MB: what a task holds per filter, and what is broadcast
 BLOCK = 1 << 10  # words of a filter that travel together
+HOT_KEYS = 1 << 14  # lines that are broadcast, 40 bytes each: those with at least this part of all suspects
 
 
 class BloomFilter:
@@ -151,15 +153,20 @@ def dedup_lines(
         ),
         "suspects",
     )
-    common = (
+    common = written(
         suspects.groupBy("digest")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        .where((F.col("n") >= documents) & F.col("keeper").isNotNull())
-        .select("digest", "keeper")
+        .where((F.col("n") >= documents) & F.col("keeper").isNotNull()),
+        "shared-lines",
     )
+    # At most HOT_KEYS keys can hold so many of the rows each; they are broadcast, so no task gets all of one.
+    many = -(-suspects.count() // HOT_KEYS)
+    hot = F.broadcast(common.where(F.col("n") >= many).select("digest", "keeper"))
+    found = suspects.join(hot, "digest", "left")
+    other = common.where(F.col("n") < many).select("digest", "keeper").hint("merge")
+    found = found.where("keeper IS NOT NULL").unionByName(found.where("keeper IS NULL").drop("keeper").join(other, "digest"))
     drops = (
-        suspects.join(common, "digest")
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        found.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("_line_dedup_id"))
         .agg(F.collect_set("digest").alias("_line_dedup_drop"))
     )
