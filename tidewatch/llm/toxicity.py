@@ -1,9 +1,11 @@
 """Toxic texts by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A text's features are the different n-grams of its lower-cased letters, hashed to ``BITS`` bits. Each is
-scaled by the log of how much larger its share of toxic rows' features is than its share of the other
-rows'; these counts are of every learnable row. The weights on the scaled features are a logistic
-regression with a quadratic penalty, fitted to a sample of at most about ``FIT_ROWS`` labelled rows.
+A text's features are the different n-grams of its lower-cased letters, as 62-bit keys. The weights are a
+logistic regression with a quadratic penalty, fitted to a sample of at most about ``FIT_ROWS`` labelled rows
+of each class; a feature that no row of the sample has would keep the weight 0, so the sample's features are
+the vocabulary, whatever the size of the corpus, and no two share an entry. Each is scaled by the log of how
+much larger its share of toxic rows' features is than its share of the other rows'; these counts are of
+every learnable row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from tidewatch.llm.common import slices, written
 from tidewatch.llm.grams import hashes, letters, segments, spread_bits
 
 ORDERS = (4, 5, 6)
-BITS = 19
+KEY_BITS = 62
 # Added to a feature's counts, shared out over the classes by their size, so that rare features lean to neither.
 SMOOTHING = 40.0
 # Features that say less than this either way get no weight.
@@ -33,56 +35,116 @@ TOXIC_FROM = 0.7
 _BLOCK = 1 << 14
 
 
+class Vocabulary:
+    """Different keys, numbered in ascending order, found through tables that each hold what the one before had no room for."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.levels: list[tuple[int, np.uint64, np.ndarray]] = []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            bits = max(10, (8 * len(left)).bit_length())
+            odd = np.uint64((0x9E3779B97F4A7C15 * (2 * len(self.levels) + 1)) & (2**64 - 1))
+            slots, table = self._slots(keys[left], bits, odd), np.full(1 << bits, -1, np.int32)
+            table[slots] = left
+            self.levels.append((bits, odd, table))
+            left = left[table[slots] != left]
+
+    @staticmethod
+    def _slots(keys: np.ndarray, bits: int, odd: np.uint64) -> np.ndarray:
+        return ((keys.astype(np.uint64) * odd) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's number, -1 where the vocabulary lacks it."""
+        out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for bits, odd, table in self.levels:
+            at = table[self._slots(keys[todo], bits, odd)]
+            taken = at >= 0  # an empty place: no key of the vocabulary comes here
+            todo, at = todo[taken], at[taken]
+            same = self.keys[at] == keys[todo]
+            out[todo[same]] = at[same]
+            todo = todo[~same]
+        return out
+
+
 def _scan(texts: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """For stretches of the texts: the text of each position, and the feature that ends there, per order."""
+    """For stretches of the texts: the text of each position, and the key of the feature that ends there, per order."""
     edge = np.full(1, 32, np.uint32)
     points = [np.concatenate([edge, p, edge]) if len(p) else p for p in map(letters, texts)]
     for flat, at, which in segments(points, max(ORDERS)):
         h = hashes(flat, max(ORDERS))
-        yield which, [spread_bits(h[k][at] + np.uint64(k), BITS) for k in ORDERS]
+        yield which, [spread_bits(h[k][at] + np.uint64(k), KEY_BITS) for k in ORDERS]
 
 
 def features(texts: list[str]) -> list[np.ndarray]:
-    """The different features of each text."""
+    """The different features of each text, as sorted keys."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
     for which, own in _scan(texts):
         starts = np.flatnonzero(np.diff(which, prepend=-1))
         for i, a, b in zip(which[starts], starts, [*starts[1:], len(which)], strict=True):
-            found[i] += [f[a:b] for f in own]
-    place, out = np.zeros(1 << BITS, np.int32), []
-    for parts in found:
-        f = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        order = np.arange(len(f), dtype=np.int32)
-        place[f] = order  # the last place of a feature is the one that counts
-        out.append(f[place[f] == order])
-    return out
+            found[i].append(np.unique(np.concatenate([f[a:b] for f in own])))
+    return [np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64) for parts in found]
 
 
-def margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The sum of each text's features' weights, each feature once."""
-    pairs = [np.zeros(0, np.int64)]
+def known(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number of each text's features in the vocabulary, each feature once."""
+    size, pairs = max(len(vocabulary), 1), [np.zeros(0, np.int64)]
     for which, own in _scan(texts):
         for f in own:
-            some = np.flatnonzero(weights[f])
-            pairs.append((which[some] << BITS) | f[some])
-    once = np.unique(np.concatenate(pairs))
-    return np.bincount(once >> BITS, weights[once & ((1 << BITS) - 1)], minlength=len(texts))
+            at = vocabulary.find(f)
+            some = np.flatnonzero(at >= 0)
+            pairs.append(np.unique(which[some] * size + at[some]))
+    return np.divmod(np.unique(np.concatenate(pairs)), size)
+
+
+def margins(texts: list[str], vocabulary: Vocabulary, weights: np.ndarray) -> np.ndarray:
+    """The sum of each text's features' weights, each feature once."""
+    which, at = known(texts, vocabulary)
+    return np.bincount(which, weights[at], minlength=len(texts))
+
+
+def sample_features(rows: DataFrame) -> DataFrame:
+    """(toxic, data): the features of each row of the sample."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            found = [f.astype("<i8").tobytes() for f in features(batch.column("text").to_pylist())]
+            yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "data"])
 
+    return rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(listed, "toxic int, data binary")
 
-def count_features(rows: DataFrame) -> DataFrame:
-    """One pass over (text, toxic, fit): partial counts by block of features, and the sample's features."""
+
+def find_vocabulary(sample: DataFrame) -> Vocabulary:
+    """The features of the sample, whose size is bounded, so is theirs."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.zeros(0, np.int64)
+        for batch in batches:
+            own = [np.frombuffer(x, "<i8") for x in batch.column("data").to_pylist()]
+            keys = np.unique(np.concatenate([keys, *own]))
+        for at in range(0, len(keys), 1 << 20):
+            yield pa.record_batch([pa.array([at]), pa.array([keys[at : at + (1 << 20)].tobytes()])], names=["at", "keys"])
+
+    parts = sorted(sample.coalesce(1).mapInArrow(merge, "at long, keys binary").collect())
+    return Vocabulary(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], "<i8") for r in parts)]))
+
+
+def count_features(rows: DataFrame, vocabulary) -> DataFrame:
+    """One pass over (text, toxic): partial counts by class and block of the (broadcast) vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int32)
-        for batch in slices(batches):
-            toxic, fit = (batch.column(c).to_pylist() for c in ("toxic", "fit"))
-            found = features(batch.column("text").to_pylist())
-            for label, own in zip(toxic, found, strict=True):
-                sums[label][own] += 1
-            chosen = [i for i, f in enumerate(fit) if f]
-            yield _rows(np.full(len(chosen), -1), [toxic[i] for i in chosen], [found[i].astype("<i4").tobytes() for i in chosen])
+        size = len(vocabulary.value)
+        sums = np.zeros((2, size), np.int64)
+        for batch in slices(batches, 64):
+            toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
+            which, at = known(batch.column("text").to_pylist(), vocabulary.value)
+            for label in (0, 1):
+                sums[label] += np.bincount(at[toxic[which] == label], minlength=size)
         for label in (0, 1):
-            blocks = [b for b in range(0, 1 << BITS, _BLOCK) if sums[label, b : b + _BLOCK].any()]
+            blocks = [b for b in range(0, size, _BLOCK) if sums[label, b : b + _BLOCK].any()]
             yield _rows(
                 np.array([b // _BLOCK for b in blocks], np.int64),
                 [label] * len(blocks),
@@ -108,10 +170,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(np.array([block]), [toxic], [total.tobytes()])
 
 
-def ratios(parts: DataFrame) -> np.ndarray:
-    """Log-count ratio of every feature; the counts that reach the driver are two per feature."""
-    sums = np.zeros((2, 1 << BITS))
-    merged = parts.where("block >= 0").repartition("block", "toxic").mapInArrow(_merge, parts.schema)
+def ratios(parts: DataFrame, size: int) -> np.ndarray:
+    """Log-count ratio of every feature; the counts that reach the driver are two per feature of the vocabulary."""
+    sums = np.zeros((2, size))
+    merged = parts.repartition("block", "toxic").mapInArrow(_merge, parts.schema)
     for row in merged.toLocalIterator():
         part = np.frombuffer(row["data"], "<i8")
         sums[row["toxic"], row["block"] * _BLOCK : row["block"] * _BLOCK + len(part)] += part
@@ -148,22 +210,32 @@ def fit_weights(
     return w * scale, b
 
 
-def train(rows: DataFrame) -> tuple[np.ndarray, float] | None:
-    """A weight per feature and the intercept, from the columns ``doc_id``, ``text``, ``toxic``."""
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(learnable: DataFrame, rows: DataFrame) -> tuple[Vocabulary, np.ndarray, float] | None:
+    """Features, a weight for each, and the intercept.
+
+    ``learnable`` has ``doc_id``, ``text``, ``toxic``; ``rows``, of which it is a part, the first two.
+    """
+    spark = rows.sparkSession
+    sizes = {r["toxic"]: r["n"] for r in learnable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     rates = [min(1.0, FIT_ROWS / sizes[k]) if sizes.get(k) else 1.0 for k in (0, 1)]
     place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / (1 << 30)
     fit = place < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
-    parts = written(count_features(rows.select("text", "toxic", fit.cast("int").alias("fit"))), "toxicity")
-    scale = ratios(parts)
+    # About 2 * FIT_ROWS ids at most: broadcast, so the sample's texts are read without a shuffle.
+    chosen = written(learnable.where(fit).select("doc_id", "toxic").distinct(), "toxicity-ids")
+    sample = written(sample_features(rows.join(F.broadcast(chosen), "doc_id")), "toxicity-sample")
+    vocabulary = find_vocabulary(sample)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    counted = written(count_features(learnable.select("text", F.col("toxic").cast("int").alias("toxic")), shared), "toxicity")
+    scale = ratios(counted, len(vocabulary))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, labels = [], []
         for batch in batches:
-            own = [np.frombuffer(x, "<i4") for x in batch.column("data").to_pylist()]
-            lists += [x[scale[x] != 0] for x in own]
+            for x in batch.column("data").to_pylist():
+                own = shared.value.find(np.frombuffer(x, "<i8"))
+                lists.append(own[scale[own] != 0].astype(np.int32))
             labels += batch.column("toxic").to_pylist()
         toxic = np.array(labels, np.float64)
         # A class of which fewer rows were taken counts as many times more.
@@ -171,9 +243,10 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float] | None:
         w, b = fit_weights(lists, toxic, scale, importance * len(toxic) / max(importance.sum(), 1))
         yield pa.record_batch([pa.array([w.astype("<f8").tobytes()]), pa.array([b])], names=["weights", "intercept"])
 
-    sample = parts.where("block < 0").select("toxic", "data").coalesce(1)
-    found = sample.mapInArrow(learn, "weights binary, intercept double").first()
-    return np.frombuffer(found["weights"], "<f8"), found["intercept"]
+    found = sample.coalesce(1).mapInArrow(learn, "weights binary, intercept double").first()
+    weights = np.frombuffer(found["weights"], "<f8")
+    used = np.flatnonzero(weights)
+    return Vocabulary(vocabulary.keys[used]), weights[used], found["intercept"]
 
 
 def score_toxicity(
@@ -191,20 +264,20 @@ def score_toxicity(
     letters, has the score of the intercept alone. With nothing to learn from, all scores are 0.
     """
     rows = docs.select(F.col(id_column).alias(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    known = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("labelled")).agg(
+    labelled = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("labelled")).agg(
         F.max(F.col(label_column).cast("int")).alias("toxic")
     )
     # Labels grow with the corpus, so the plan is the same at every size: a merge, never a broadcast.
-    learnable = rows.where(learn_from).join(known.hint("merge"), F.col(id_column) == F.col("labelled"))
-    model = train(learnable.select(F.col(id_column).alias("doc_id"), "text", "toxic"))
+    learnable = rows.where(learn_from).join(labelled.hint("merge"), F.col(id_column) == F.col("labelled"))
+    model = train(learnable.select(F.col(id_column).alias("doc_id"), "text", "toxic"), rows.select(F.col(id_column).alias("doc_id"), "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sums = np.zeros(batch.num_rows)
             if shared.value is not None:
-                weights, intercept = shared.value
-                margin = margins(batch.column("text").to_pylist(), weights) + intercept
+                vocabulary, weights, intercept = shared.value
+                margin = margins(batch.column("text").to_pylist(), vocabulary, weights) + intercept
                 sums = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(sums), pa.array((sums >= TOXIC_FROM).astype("i4"))],
