@@ -20,7 +20,6 @@ from tidewatch.llm.toxicity import (
     find_vocabulary,
     margins,
     ratios,
-    sample_features,
     score_toxicity,
 )
 
@@ -90,7 +89,7 @@ def test_ratios_equal_brute_force(spark):
     shares = [[(c[k] + SMOOTHING * totals[k] / sum(totals)) / totals[k] for k in (0, 1)] for c in counts.values()]
     expected = [r if abs(r) >= LEAST_RATIO else 0.0 for r in (np.log(s[1] / s[0]) for s in shares)]
     rows = frame(spark, texts, "text string, toxic int").repartition(4)
-    vocabulary = find_vocabulary(sample_features(rows))
+    vocabulary = find_vocabulary(rows)
     got = ratios(count_features(rows, spark.sparkContext.broadcast(vocabulary)), len(vocabulary))
     assert len(vocabulary) == len(names)
     assert np.allclose(np.sort(got), np.sort(expected), atol=1e-12)

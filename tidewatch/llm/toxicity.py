@@ -106,30 +106,29 @@ def margins(texts: list[str], vocabulary: Vocabulary, weights: np.ndarray) -> np
     return np.bincount(which, weights[at], minlength=len(texts))
 
 
-def sample_features(rows: DataFrame) -> DataFrame:
-    """(toxic, data): the features of each row of the sample."""
+def find_vocabulary(sample: DataFrame) -> Vocabulary:
+    """The features of the sample's texts; as its size is bounded, so is theirs."""
+
+    def chunks(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), 1 << 20):
+            yield pa.record_batch([pa.array([keys[at : at + (1 << 20)].tobytes()])], names=["keys"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.zeros(0, np.int64)
         for batch in slices(batches, 64):
-            found = [f.astype("<i8").tobytes() for f in features(batch.column("text").to_pylist())]
-            yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "data"])
-
-    return rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(listed, "toxic int, data binary")
-
-
-def find_vocabulary(sample: DataFrame) -> Vocabulary:
-    """The features of the sample, whose size is bounded, so is theirs."""
+            keys = np.unique(np.concatenate([keys, *features(batch.column("text").to_pylist())]))
+        yield from chunks(keys)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros(0, np.int64)
         for batch in batches:
-            own = [np.frombuffer(x, "<i8") for x in batch.column("data").to_pylist()]
-            keys = np.unique(np.concatenate([keys, *own]))
-        for at in range(0, len(keys), 1 << 20):
-            yield pa.record_batch([pa.array([at]), pa.array([keys[at : at + (1 << 20)].tobytes()])], names=["at", "keys"])
+            for x in batch.column("keys").to_pylist():
+                keys = np.union1d(keys, np.frombuffer(x, "<i8"))
+        yield from chunks(keys)
 
-    parts = sorted(sample.coalesce(1).mapInArrow(merge, "at long, keys binary").collect())
-    return Vocabulary(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], "<i8") for r in parts)]))
+    parts = sample.select("text").mapInArrow(listed, "keys binary").repartition(1).mapInArrow(merge, "keys binary").collect()
+    keys = [np.frombuffer(r["keys"], "<i8") for r in parts]
+    return Vocabulary(np.sort(np.concatenate([np.zeros(0, np.int64), *keys])))
 
 
 def count_features(rows: DataFrame, vocabulary) -> DataFrame:
@@ -224,18 +223,25 @@ def train(learnable: DataFrame, rows: DataFrame) -> tuple[Vocabulary, np.ndarray
     fit = place < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
     # About 2 * FIT_ROWS ids at most: broadcast, so the sample's texts are read without a shuffle.
     chosen = written(learnable.where(fit).select("doc_id", "toxic").distinct(), "toxicity-ids")
-    sample = written(sample_features(rows.join(F.broadcast(chosen), "doc_id")), "toxicity-sample")
+    sample = written(
+        rows.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"), "toxicity-sample"
+    )
     vocabulary = find_vocabulary(sample)
     shared = spark.sparkContext.broadcast(vocabulary)
     counted = written(count_features(learnable.select("text", F.col("toxic").cast("int").alias("toxic")), shared), "toxicity")
     scale = ratios(counted, len(vocabulary))
 
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            which, at = known(batch.column("text").to_pylist(), shared.value)
+            some = scale[at] != 0
+            lists = np.split(at[some].astype("<i4"), np.searchsorted(which[some], np.arange(1, batch.num_rows)))
+            yield pa.record_batch([batch.column("toxic"), pa.array([x.tobytes() for x in lists])], names=["toxic", "data"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, labels = [], []
         for batch in batches:
-            for x in batch.column("data").to_pylist():
-                own = shared.value.find(np.frombuffer(x, "<i8"))
-                lists.append(own[scale[own] != 0].astype(np.int32))
+            lists += [np.frombuffer(x, "<i4") for x in batch.column("data").to_pylist()]
             labels += batch.column("toxic").to_pylist()
         toxic = np.array(labels, np.float64)
         # A class of which fewer rows were taken counts as many times more.
@@ -243,7 +249,8 @@ def train(learnable: DataFrame, rows: DataFrame) -> tuple[Vocabulary, np.ndarray
         w, b = fit_weights(lists, toxic, scale, importance * len(toxic) / max(importance.sum(), 1))
         yield pa.record_batch([pa.array([w.astype("<f8").tobytes()]), pa.array([b])], names=["weights", "intercept"])
 
-    found = sample.coalesce(1).mapInArrow(learn, "weights binary, intercept double").first()
+    listed = sample.mapInArrow(scaled, "toxic int, data binary").repartition(1)
+    found = listed.mapInArrow(learn, "weights binary, intercept double").first()
     weights = np.frombuffer(found["weights"], "<f8")
     used = np.flatnonzero(weights)
     return Vocabulary(vocabulary.keys[used]), weights[used], found["intercept"]
