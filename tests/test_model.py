@@ -19,7 +19,7 @@ from tidewatch.operators.model import (
     score,
     transform_features,
 )
-from tidewatch.operators.tree_shap import explain_rows, leaf_tables, node_table, shapley_table, tree_shap, tree_shap_rows
+from tidewatch.operators.tree_shap import explain_rows, leaf_tables, node_table, shapley_table, tree_shap, tree_shap_columns, tree_shap_rows
 from tidewatch.plans.explain import batch_importance, compare_batches, explain_batch
 from tidewatch.plans.training import train_and_evaluate
 from tidewatch.schema import TAG_COLUMNS
@@ -154,3 +154,18 @@ def test_linear_attribution_adds_up(spark):
     assert phi == {(1, "a"): -0.5, (1, "b"): 0.5, (2, "a"): 0.5, (2, "b"): -0.5}
     scores = [r.score for r in score_linear(df, weights, 0.0).orderBy("id").collect()]
     assert scores == [round(1 / (1 + math.exp(-1.0)), 6)] * 2
+
+
+def test_built_in_attributions_equal_the_arrow_form(trained, txn, spark):
+    """All rows, batches with missing and unseen values included, without a Python worker in the plan."""
+    keys = ["transaction_id", "batch_file_name"]
+    columns = tree_shap_columns(trained.model, txn, keys)
+    plan = columns._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInPandas" not in plan and "ArrowEval" not in plan
+    got = columns.toPandas().drop_duplicates(keys).set_index(keys).sort_index()
+    expected = tree_shap_rows(trained.model, txn, keys).toPandas().drop_duplicates(keys).set_index(keys).sort_index()
+    assert len(got) == len(expected) > 0 and (got.index == expected.index).all()
+    assert np.abs(np.vstack(got.phi) - np.vstack(expected.phi)).max() < 1e-12
+    assert np.abs(np.vstack(expected.phi)).max() > 0.01
+    assert (np.vstack(got.features) == np.vstack(expected.features)).all()
+    assert tree_shap_columns(trained.model, txn.limit(0), keys).count() == 0

@@ -668,3 +668,4 @@ ORACLE["shap_additivity"] = sql(
     """SELECT batch_file_name, count(*) AS total_rows, CAST(0 AS DOUBLE) AS largest_gap
        FROM transactions GROUP BY 1"""
 )
+ORACLE["shap_columns_additivity"] = ORACLE["shap_additivity"]

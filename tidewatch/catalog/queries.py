@@ -19,7 +19,7 @@ from tidewatch.operators.drift import feature_drift, feature_drift_flag, numeric
 from tidewatch.operators.model import TrainConfig, feature_frame, score
 from tidewatch.operators.dictionary import fit_dictionary, slot_counts, slots
 from tidewatch.operators.sampling import sample_n, sample_per_key, train_test_split
-from tidewatch.operators.tree_shap import explain_rows, tree_shap_rows
+from tidewatch.operators.tree_shap import explain_rows, tree_shap_columns, tree_shap_rows
 from tidewatch.plans.explain import batch_importance, compare_batches
 from tidewatch.plans.incident import incident_lookup, incident_prompts, incidents
 from tidewatch.plans.monitor import load_profile, monitor, save_profile
@@ -553,14 +553,13 @@ def q_gbt_report_facts(spark, sf_dir):
     )
 
 
-def q_shap_additivity(spark, sf_dir):
-    """Largest gap between a row's attributions plus expectation and its log-odds, per batch."""
+def _additivity(attributions, spark, sf_dir):
     model, txn = fitted_model(spark, sf_dir), transactions(spark, sf_dir)
     margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
     rows = model.transform(txn).select(*txn.columns, margin.alias("margin"))
     total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) + F.col("expected")
     return (
-        tree_shap_rows(model, rows, [BATCH_COLUMN, "margin"])
+        attributions(model, rows, [BATCH_COLUMN, "margin"])
         .groupBy(BATCH_COLUMN)
         .agg(
             F.count("*").alias("total_rows"),
@@ -569,6 +568,16 @@ def q_shap_additivity(spark, sf_dir):
     )
 
 
+def q_shap_additivity(spark, sf_dir):
+    """Largest gap between a row's attributions plus expectation and its log-odds, per batch."""
+    return _additivity(tree_shap_rows, spark, sf_dir)
+
+
+def q_shap_columns_additivity(spark, sf_dir):
+    """The same gap of the attributions by built-in functions."""
+    return _additivity(tree_shap_columns, spark, sf_dir)
+
+
 def q_explain_rows(spark, sf_dir):
     """The three largest attributions of every row, with the feature's value."""
     model, txn = fitted_model(spark, sf_dir), transactions(spark, sf_dir)
@@ -733,6 +742,7 @@ QUERIES = {
     "boosted_report": q_boosted_report,
     "tree_shap": q_tree_shap,
     "shap_additivity": q_shap_additivity,
+    "shap_columns_additivity": q_shap_columns_additivity,
     "explain_batches": q_explain_batches,
     "explain_rows": q_explain_rows,
     "explained_amounts": q_explained_amounts,
