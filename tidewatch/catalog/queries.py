@@ -498,11 +498,11 @@ def q_category_dictionary(spark, sf_dir):
 
 
 @lru_cache(maxsize=4)
-def trained(application: str, sf_dir: str):
+def trained(application: str, sf_dir: str, trees: int = TrainConfig.trees):
     """The model of one input folder, fitted once per application."""
     spark = SparkSession.getActiveSession()
     base = baseline(transactions(spark, sf_dir)).drop(*TAG_COLUMNS)
-    return train_and_evaluate(base, TrainConfig())
+    return train_and_evaluate(base, TrainConfig(trees=trees))
 
 
 def fitted_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
@@ -553,8 +553,8 @@ def q_gbt_report_facts(spark, sf_dir):
     )
 
 
-def _additivity(attributions, spark, sf_dir):
-    model, txn = fitted_model(spark, sf_dir), transactions(spark, sf_dir)
+def _additivity(attributions, model, spark, sf_dir):
+    txn = transactions(spark, sf_dir)
     margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
     rows = model.transform(txn).select(*txn.columns, margin.alias("margin"))
     total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) + F.col("expected")
@@ -570,12 +570,13 @@ def _additivity(attributions, spark, sf_dir):
 
 def q_shap_additivity(spark, sf_dir):
     """Largest gap between a row's attributions plus expectation and its log-odds, per batch."""
-    return _additivity(tree_shap_rows, spark, sf_dir)
+    return _additivity(tree_shap_rows, fitted_model(spark, sf_dir), spark, sf_dir)
 
 
 def q_shap_columns_additivity(spark, sf_dir):
-    """The same gap of the attributions by built-in functions."""
-    return _additivity(tree_shap_columns, spark, sf_dir)
+    """The same gap of the attributions by built-in functions, whose work per row follows the trees: ten of them."""
+    model = trained(spark.sparkContext.applicationId, sf_dir, 10).model
+    return _additivity(tree_shap_columns, model, spark, sf_dir)
 
 
 def q_explain_rows(spark, sf_dir):
