@@ -20,7 +20,8 @@ class_balance feature_drift feature_drift_ranges feature_drift_flag prediction_d
 document_duplicates label_performance linear_attribution attribution_rank attribution_compare top_changes
 top_changes_text incidents incident_prompt sample_sizes split_sizes split_rows one_hot
 category_dictionary mixed_headers mixed_shapes column_listing snapshot_table run_log sample_total batch_incidents split_histogram
-root_split monitoring_report profile_report stream_report mean_abs_attribution overview severity kpi_cards""".split()
+root_split monitoring_report profile_report stream_report mean_abs_attribution overview severity kpi_cards
+load_baseline feature_label column_roles encoded_features train_facts model_roundtrip shap_columns_additivity""".split()
 
 
 @pytest.fixture(scope="module")

@@ -669,3 +669,46 @@ ORACLE["shap_additivity"] = sql(
        FROM transactions GROUP BY 1"""
 )
 ORACLE["shap_columns_additivity"] = ORACLE["shap_additivity"]
+ORACLE["load_baseline"] = sql(f"SELECT {LOADED} FROM transactions WHERE data_source = 'baseline'")
+ORACLE["feature_label"] = sql(
+    "SELECT channel, label_fraud::DOUBLE AS label_fraud, count(*) AS total_rows FROM transactions GROUP BY ALL"
+)
+ORACLE["column_roles"] = sql(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{role}' AS role, count({c}) AS known FROM transactions"
+        for role, names in (("categorical", CATEGORICAL_FEATURES), ("numeric", NUMERIC_FEATURES))
+        for c in names
+    )
+)
+ORACLE["encoded_features"] = sql(
+    "SELECT batch_file_name, feature, round(total, 3) + 0::DOUBLE AS total, nonzero FROM cells",
+    "batches AS (SELECT DISTINCT batch_file_name FROM transactions)",
+    "cells AS ("
+    + " UNION ALL ".join(
+        [
+            f"""SELECT b.batch_file_name, '{c}_' || v.{c} AS feature, count(t.{c})::DOUBLE AS total, count(t.{c}) AS nonzero
+                FROM batches b CROSS JOIN (SELECT DISTINCT {c} FROM transactions WHERE data_source = 'baseline' AND {c} IS NOT NULL) v
+                LEFT JOIN transactions t ON t.batch_file_name = b.batch_file_name AND t.{c} = v.{c} GROUP BY 1, 2"""
+            for c in CATEGORICAL_FEATURES
+        ]
+        + [
+            f"""SELECT batch_file_name, '{c}', sum(x)::DOUBLE, count(*) FILTER (x <> 0) FROM (SELECT batch_file_name, coalesce({c}::DOUBLE,
+                (SELECT avg({c}) FROM transactions WHERE data_source = 'baseline')) AS x FROM transactions) GROUP BY 1"""
+            for c in NUMERIC_FEATURES
+        ]
+    )
+    + ")",
+)
+ORACLE["train_facts"] = sql(
+    f"""SELECT 10 AS n_estimators, 4 AS max_depth, 0.05::DOUBLE AS learning_rate, 0.3::DOUBLE AS fraud_threshold,
+        {r("sum(train) FILTER (label_fraud = 0) / sum(train) FILTER (label_fraud = 1)::DOUBLE")} AS scale_pos_weight,
+        sum(train)::BIGINT AS train_rows, sum(test)::BIGINT AS test_rows,
+        {literal(", ".join(CATEGORICAL_FEATURES))} AS categorical_features, {literal(", ".join(NUMERIC_FEATURES))} AS numeric_features,
+        sum(test) FILTER (label_fraud = 1)::BIGINT AS test_positives, sum(test) FILTER (label_fraud = 0)::BIGINT AS test_negatives
+        FROM parts""",
+    f"""parts AS (SELECT label_fraud, coalesce(sum(total_rows) FILTER (split = 'test'), 0) AS test,
+        coalesce(sum(total_rows) FILTER (split = 'train'), 0) AS train FROM ({ORACLE["split_sizes"]}) GROUP BY 1)""",
+)
+ORACLE["model_roundtrip"] = sql(
+    "SELECT batch_file_name, count(*) AS total_rows, 0::BIGINT AS changed FROM transactions GROUP BY 1"
+)

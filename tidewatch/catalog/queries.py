@@ -16,7 +16,16 @@ from tidewatch.operators import performance as perf
 from tidewatch.operators import quality, reporting, validation
 from tidewatch.operators.boosting import BoostConfig, best_splits, first_level, model_nodes, score_boosted, train_boosted, width_cuts
 from tidewatch.operators.drift import feature_drift, feature_drift_flag, numeric_features, prediction_drift
-from tidewatch.operators.model import TrainConfig, feature_frame, score
+from tidewatch.operators.model import (
+    TrainConfig,
+    feature_frame,
+    feature_label,
+    feature_sums,
+    fit_encoder,
+    load_model,
+    save_model,
+    score,
+)
 from tidewatch.operators.dictionary import fit_dictionary, slot_counts, slots
 from tidewatch.operators.sampling import sample_n, sample_per_key, train_test_split
 from tidewatch.operators.tree_shap import explain_rows, tree_shap_columns, tree_shap_rows
@@ -109,6 +118,12 @@ def q_load_batch(spark, sf_dir):
     return sources.load_batch(spark, path, name).select(*LOADED)
 
 
+def q_load_baseline(spark, sf_dir):
+    path = run_folder(spark, "baseline")
+    baseline(transactions(spark, sf_dir)).drop(*TAG_COLUMNS).write.option("header", True).csv(f"{path}/train.csv")
+    return sources.load_baseline(spark, f"{path}/train.csv").select(*LOADED)
+
+
 def q_load_all_batches(spark, sf_dir):
     return sources.load_batches(spark, write_batches(spark, sf_dir)).select(BATCH_COLUMN, *LOADED)
 
@@ -220,6 +235,23 @@ def q_feature_projection(spark, sf_dir):
     return feature_frame(transactions(spark, sf_dir))
 
 
+def q_feature_label(spark, sf_dir):
+    """Rows by channel and label, as the label leaves its split from the features."""
+    txn = transactions(spark, sf_dir)
+    tagged = feature_label(txn).select("channel", TARGET)
+    return tagged.groupBy("channel", TARGET).agg(F.count("*").alias("total_rows"))
+
+
+def q_column_roles(spark, sf_dir):
+    """Each feature column, its role by type, and how many cells it has."""
+    txn = transactions(spark, sf_dir)
+    categorical, numeric = column_roles(txn)
+    counts = txn.agg(*[F.count(c).alias(c) for c in [*categorical, *numeric]])
+    roles = [(c, role) for role, names in (("categorical", categorical), ("numeric", numeric)) for c in names]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(role).alias("role"), F.col(c).alias("known")) for c, role in roles]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def q_high_risk(spark, sf_dir):
     return validation.high_risk(transactions(spark, sf_dir)).select("transaction_id", BATCH_COLUMN, SCORE)
 
@@ -497,6 +529,13 @@ def q_category_dictionary(spark, sf_dir):
     return slots(fit_dictionary(baseline(txn), categorical), categorical)
 
 
+def q_encoded_features(spark, sf_dir):
+    """Every encoded feature's sum and cells other than 0 per batch, encoded as the baseline has it."""
+    txn = transactions(spark, sf_dir)
+    sums = feature_sums(fit_encoder(baseline(txn)), txn, [BATCH_COLUMN])
+    return rounded(sums, 3)
+
+
 @lru_cache(maxsize=4)
 def trained(application: str, sf_dir: str, trees: int = TrainConfig.trees):
     """The model of one input folder, fitted once per application."""
@@ -513,6 +552,28 @@ def q_train_eval(spark, sf_dir):
     return trained(spark.sparkContext.applicationId, sf_dir).evaluation
 
 
+def q_train_facts(spark, sf_dir):
+    """The part of the evaluation that does not depend on which rows were drawn."""
+    evaluation = trained(spark.sparkContext.applicationId, sf_dir, 10).evaluation
+    return rounded(
+        evaluation.select(
+            *[c for c in EVALUATION_PARAMS if c != "model_type"],
+            (F.col("tp") + F.col("fn")).alias("test_positives"),
+            (F.col("tn") + F.col("fp")).alias("test_negatives"),
+        )
+    )
+
+
+def q_model_roundtrip(spark, sf_dir):
+    """Rows per batch, and how many of them the stored model scores otherwise than the one it was stored from."""
+    path, model = run_folder(spark, "model"), trained(spark.sparkContext.applicationId, sf_dir, 10).model
+    save_model(model, path)
+    both = score(load_model(path), score(model, transactions(spark, sf_dir), "before"), "after")
+    return both.groupBy(BATCH_COLUMN).agg(
+        F.count("*").alias("total_rows"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed")
+    )
+
+
 def q_train_log(spark, sf_dir):
     return outputs.log_rows(
         q_train_eval(spark, sf_dir), "run_name", EVALUATION_PARAMS, EVALUATION_METRICS
@@ -665,6 +726,7 @@ def on_transactions(operator):
 
 QUERIES = {
     "load_batch": q_load_batch,
+    "load_baseline": q_load_baseline,
     "load_all_batches": q_load_all_batches,
     "batch_shapes": q_batch_shapes,
     "mixed_headers": q_mixed_headers,
@@ -680,6 +742,8 @@ QUERIES = {
     "transactions": q_transactions,
     "union_sources": q_union_sources,
     "feature_projection": q_feature_projection,
+    "feature_label": q_feature_label,
+    "column_roles": q_column_roles,
     "high_risk": q_high_risk,
     "scored": q_scored,
     "volume_by_source": on_transactions(validation.volume_by_source),
@@ -732,7 +796,10 @@ QUERIES = {
     "split_rows": q_split_rows,
     "one_hot": q_one_hot,
     "category_dictionary": q_category_dictionary,
+    "encoded_features": q_encoded_features,
     "train_eval": q_train_eval,
+    "train_facts": q_train_facts,
+    "model_roundtrip": q_model_roundtrip,
     "train_log": q_train_log,
     "gbt_scores": q_gbt_scores,
     "gbt_report": q_gbt_report,

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,9 @@ from tidewatch.operators.performance import class_weight
 from tidewatch.schema import DROP_COLUMNS, TAG_COLUMNS, TARGET, column_roles, require_columns
 from tidewatch.session import ensure_checkpoint_dir, run_folder
 
+# Indexer, one-hot, means, assembler; the trees follow.
+ENCODER_STAGES = 4
+
 
 @dataclass(frozen=True)
 class TrainConfig:
@@ -62,6 +66,11 @@ def encoder_stages(categorical: list[str], numeric: list[str]) -> list:
     ]
 
 
+def fit_encoder(df: DataFrame) -> PipelineModel:
+    """The encoder alone, fitted on all rows of ``df``."""
+    return Pipeline(stages=encoder_stages(*column_roles(feature_frame(df)))).fit(df)
+
+
 def encoder_names(model: PipelineModel) -> list[str]:
     """Slot names: ``<column>_<value>`` for categories, the column name for numbers."""
     indexer, _, imputer = model.stages[:3]
@@ -112,10 +121,26 @@ def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame
 
 def transform_features(model: PipelineModel, df: DataFrame) -> DataFrame:
     """The encoded row as a dense array, without running the trees."""
-    encoded = PipelineModel(model.stages[:-1]).transform(df)
+    encoded = PipelineModel(model.stages[:ENCODER_STAGES]).transform(df)
     return encoded.select(*df.columns, vector_to_array("features").alias("features"))
 
 
+def feature_sums(model: PipelineModel, df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and encoded feature: the sum of its cells and how many of them are not 0.
+
+    Vectors are added up as they are, inside the tasks first; rows are never taken apart by feature.
+    """
+    encoded = PipelineModel(model.stages[:ENCODER_STAGES]).transform(df).groupBy(*keys)
+    sums = encoded.agg(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s"))
+    names = F.array(*[F.lit(c) for c in encoder_names(model)])
+    cells = F.arrays_zip(
+        names.alias("feature"),
+        vector_to_array("s.sum").alias("total"),
+        F.transform(vector_to_array("s.numNonZeros"), lambda x: x.cast("long")).alias("nonzero"),
+    )
+    return sums.select(*keys, F.inline(cells))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
