@@ -236,7 +236,7 @@ def q_feature_projection(spark, sf_dir):
 
 
 def q_feature_label(spark, sf_dir):
-    """Rows by channel and label, as the label leaves its split from the features."""
+    """Rows by channel and label, the label split off as a number."""
     txn = transactions(spark, sf_dir)
     tagged = feature_label(txn).select("channel", TARGET)
     return tagged.groupBy("channel", TARGET).agg(F.count("*").alias("total_rows"))
