@@ -49,3 +49,15 @@ def test_samples(spark):
     assert {r.small: r["count"] for r in by_key.groupBy("small").count().collect()} == {True: 30, False: 40}
     plan = by_key._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_rows_of_a_key_do_not_meet_before_they_are_chosen(spark):
+    df = spark.range(1000).select("id", (F.col("id") < 30).alias("small"))
+    plan = sample_per_key(df, ["small"], 40)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sample_per_key(df, ["small"], 40)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
