@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidewatch.catalog import queries
 from tidewatch.catalog.view import transactions
 from tidewatch.operators.attribution import linear_attribution, score_linear
 from tidewatch.operators.model import (
@@ -169,3 +170,24 @@ def test_built_in_attributions_equal_the_arrow_form(trained, txn, spark):
     assert np.abs(np.vstack(expected.phi)).max() > 0.01
     assert (np.vstack(got.features) == np.vstack(expected.features)).all()
     assert tree_shap_columns(trained.model, txn.limit(0), keys).count() == 0
+
+
+def test_the_query_tree_shap_has_every_row_with_its_attributions(trained, txn, spark, monkeypatch):
+    """All rows and copies of them, as many attributions as features, which add up to the row's margin."""
+    monkeypatch.setattr(queries, "fitted_model", lambda *_: trained.model)
+    monkeypatch.setattr(queries, "transactions", lambda *_: txn)
+    found = queries.q_tree_shap(spark, "unused")
+    names = encoder_names(trained.model)
+    assert found.schema["phi"].metadata["names"] == names == found.schema["features"].metadata["names"]
+    keys = ["transaction_id", "batch_file_name"]
+    margins = trained.model.transform(txn).select(*keys, F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("m"))
+    total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) + F.col("expected")
+    got = found.where(F.size("phi") == len(names)).select(*keys, F.round(total, 9).alias("m"))
+    expected = margins.select(*keys, F.round(2 * F.col("m"), 9).alias("m"))
+    close = got.groupBy(*keys).agg(F.count("*").alias("n"), F.max("m").alias("a")).join(
+        expected.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("m").alias("b")), keys
+    )
+    assert got.count() == txn.count()
+    assert close.where((F.col("n") != F.col("rows")) | (F.abs(F.col("a") - F.col("b")) > 1e-8)).count() == 0
+    assert found.agg(F.max(F.array_max("phi"))).first()[0] > 0.01
+    assert found.first().features[names.index("amount")] > 1.0
