@@ -10,13 +10,23 @@ from tidewatch.catalog.view import transactions
 from tidewatch.operators.boosting import (
     UNIT,
     BoostConfig,
+    Node,
+    _blocks,
+    _Layout,
+    _level,
+    _moved_on,
+    binned,
     fit_boosted,
+    gradients,
+    level_histogram,
     load_boosted,
     model_nodes,
     quantile_cuts,
     save_boosted,
     score_boosted,
     train_boosted,
+    tree_value,
+    went_left,
 )
 from tidewatch.operators.drift import numeric_features
 from tidewatch.operators.performance import roc_auc
@@ -166,3 +176,31 @@ def test_a_run_leaves_model_table_and_log(spark, sf_dir, tmp_path):
     assert sum(r.Predicted_0 + r.Predicted_1 for r in table.collect()) == row.test_rows
     log = {r.key for r in spark.read.parquet(str(tmp_path / "run/log")).collect()}
     assert log == {*EVALUATION_PARAMS, *EVALUATION_METRICS}
+
+
+def test_blocks_give_the_sums_of_the_rows(spark, sf_dir):
+    """A level from blocks equals that from rows, with the draw and the gradients as Spark's functions have them."""
+    txn = transactions(spark, sf_dir).limit(3000).withColumn("channel", F.when(F.col("amount") > 2000, F.col("channel")))
+    columns, categories = numeric_features(txn), ["channel", "country"]
+    cuts = quantile_cuts(txn, columns, 16) | {"transaction_hour": [float(c) for c in range(300)]}
+    names = [*columns, *categories]
+    rows = binned(txn.select(*names, TARGET), cuts, categories, TARGET, F.when(F.col(TARGET) == 1, 7.5).otherwise(1.0), 5).cache()
+    layout = _Layout(tuple(columns), tuple(categories), "u2", 7.5, 0.9)
+    blocks = _blocks(rows.repartition(3), layout)
+    assert blocks.count() <= 6 and blocks.agg(F.sum("n")).first()[0] == rows.count()
+    splits = [("amount", 7.0, None, True, False), ("channel", None, None, False, False), ("ip_risk_score", 3.0, None, True, True)]
+    tree = {i + 1: Node(0, i + 1, c, v, k, n, m, 0.0, 1.0, 1.0) for i, (c, v, k, n, m) in enumerate(splits)}
+    leaves = {i: Node(0, i, None, None, None, False, False, i / 7 - 0.8, 0.0, 1.0) for i in range(4, 8)}
+
+    def value(node):
+        at = names.index(node.column_name)
+        return F.nullif(F.get("bins", F.lit(at)), F.lit(-1)) if node.is_number else F.get("categories", F.lit(at - len(columns)))
+
+    first, now = tree | leaves, {1: tree[3], 2: leaves[4]}
+    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 20)) < int(0.9 * (1 << 20)))
+    placed = drawn.withColumn("node", F.when(went_left(tree[3], value(tree[3])), 2).otherwise(3)).where("node = 3")
+    expected = level_histogram(gradients(placed, F.col("margin") + tree_value(first, value)), [0, 2, *range(5, len(names))], len(columns))
+    moved = _moved_on(blocks, layout, [first])
+    for got in (_level(blocks, layout, [0, 2, *range(5, len(names))], 11, [first], now), _level(moved, layout, [0, 2, *range(5, len(names))], 11, [], now)):
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert expected.count() > 50
