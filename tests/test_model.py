@@ -191,3 +191,11 @@ def test_the_query_tree_shap_has_every_row_with_its_attributions(trained, txn, s
     assert close.where((F.col("n") != F.col("rows")) | (F.abs(F.col("a") - F.col("b")) > 1e-8)).count() == 0
     assert found.agg(F.max(F.array_max("phi"))).first()[0] > 0.01
     assert found.first().features[names.index("amount")] > 1.0
+
+
+def test_built_in_attributions_are_compiled_by_parts(trained, txn):
+    """Tables are read by compiled terms, not by functions per cell, and the projection stays out of whole-stage code."""
+    plan = tree_shap_columns(trained.model, txn, ["transaction_id"])._jdf.queryExecution()
+    line = next(x for x in plan.executedPlan().toString().splitlines() if " AS phi#" in x)
+    assert "Project [" in line and "*(" not in line
+    assert plan.optimizedPlan().toString().count("lambdafunction(") == 2  # one function, its merge and its end
