@@ -180,13 +180,14 @@ def test_a_run_leaves_model_table_and_log(spark, sf_dir, tmp_path):
 
 def test_blocks_give_the_sums_of_the_rows(spark, sf_dir):
     """A level from blocks equals that from rows, with the draw and the gradients as Spark's functions have them."""
-    txn = transactions(spark, sf_dir).limit(3000).withColumn("channel", F.when(F.col("amount") > 2000, F.col("channel")))
+    odd = F.when(F.col("amount") > 1500, F.lit(float("nan"))).otherwise(F.col("login_velocity_24h"))
+    txn = transactions(spark, sf_dir).where("transaction_hour < 12").withColumn("login_velocity_24h", odd).withColumn("channel", F.when(F.col("amount") > 2000, F.col("channel")))
     columns, categories = numeric_features(txn), ["channel", "country"]
     cuts = quantile_cuts(txn, columns, 16) | {"transaction_hour": [float(c) for c in range(300)]}
     names = [*columns, *categories]
     rows = binned(txn.select(*names, TARGET), cuts, categories, TARGET, F.when(F.col(TARGET) == 1, 7.5).otherwise(1.0), 5).cache()
     layout = _Layout(tuple(columns), tuple(categories), "u2", 7.5, 0.9)
-    blocks = _blocks(rows.repartition(3), layout)
+    blocks = _blocks(txn.repartition(3), cuts, TARGET, 5, layout)
     assert blocks.count() <= 6 and blocks.agg(F.sum("n")).first()[0] == rows.count()
     splits = [("amount", 7.0, None, True, False), ("channel", None, None, False, False), ("ip_risk_score", 3.0, None, True, True)]
     tree = {i + 1: Node(0, i + 1, c, v, k, n, m, 0.0, 1.0, 1.0) for i, (c, v, k, n, m) in enumerate(splits)}
