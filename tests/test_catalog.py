@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tidewatch.catalog.queries import joined_once
 from tidewatch.schema import REPORT_COLUMNS
 
 TABLES = (
@@ -55,3 +56,9 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 def test_entry(spark):
     report = driver.entry(spark)
     assert tuple(report.columns) == REPORT_COLUMNS and report.count() == 5
+
+
+def test_the_joined_table_is_written_small(spark, sf_dir):
+    """It is the largest table that a report leaves on disk."""
+    files = joined_once(spark, sf_dir).inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
